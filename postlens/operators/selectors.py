@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import fixed_values as V
@@ -66,6 +69,9 @@ def selector_success_rate(attempts: DataFrame) -> DataFrame:
 
 CONFIDENCE_STEPS = 10_001
 
+# ``_compose`` travels with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _compose(steps: np.ndarray) -> tuple[list[int], list[int]]:
     """What a run of attempts does to every possible starting confidence.

@@ -11,7 +11,9 @@ from postlens.operators.matching import results_query, rule_score
 from postlens.plans.sources import postings, profiles
 from postlens.operators.postings import within_batch_dedup
 
-AREAS = ("text_checks", "posting_checks", "matching_checks", "telemetry_checks")
+AREAS = (
+    "text_checks", "posting_checks", "matching_checks", "telemetry_checks", "page_checks", "board_checks",
+)
 
 
 def _areas():
