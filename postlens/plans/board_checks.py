@@ -281,7 +281,7 @@ def _sql() -> dict[str, str]:
     desc0 = "coalesce(description, '')"
     out = {
         "greenhouse_postings": board(url="url", external_id=s, location=loc0, posted_at="posted_at", department="'Team ' || company_id",
-                                     description="CASE WHEN description IS NULL THEN '' ELSE description || chr(10) || 'R&D' END", salary="salary", employment_type="'Full-time'"),
+                                     description="CASE WHEN description IS NULL THEN '' ELSE description || chr(10) || 'R&amp;D' END", salary="salary", employment_type="'Full-time'"),
         "lever_postings": board(url="url", external_id=s, location=loc0, description=desc0, requirements="title || chr(10) || 'B'", department="'Core'",
                                 employment_type="'Contract'", salary="'USD 100-' || CAST(company_id + 200 AS VARCHAR)", posted_at="'1753000000000'", remote="'remote'"),
         "ashby_postings": board(url="url", external_id=s, location=loc0, description=desc0, department="''", employment_type="''", salary="salary", posted_at="posted_at",

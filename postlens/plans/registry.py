@@ -13,6 +13,7 @@ from postlens.operators.postings import within_batch_dedup
 
 AREAS = (
     "text_checks", "posting_checks", "matching_checks", "telemetry_checks", "page_checks", "board_checks",
+    "stream_checks",
 )
 
 
