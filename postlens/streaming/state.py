@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 # The processors travel with the job, so workers need no installed package.
@@ -21,6 +21,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DAY_MS = 86_400_000
 
 
+def _millis(moment: datetime) -> int:
+    return round(moment.timestamp() * 1000)
+
+
+def _moment(millis: int) -> datetime:
+    return datetime.fromtimestamp(millis / 1000)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -48,34 +56,26 @@ class PostingLifetime(StatefulProcessor):
         self.handle = handle
         self.seen = handle.getValueState("seen", _schema(first=T.LongType(), last=T.LongType()))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        low, high = None, None
-        for chunk in rows:
-            ms = (pd.to_datetime(chunk["fetched_at"], utc=True) - pd.Timestamp(0, tz="UTC")) // pd.Timedelta("1ms")
-            low = int(ms.min()) if low is None else min(low, int(ms.min()))
-            high = int(ms.max()) if high is None else max(high, int(ms.max()))
-        if low is not None:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        times = [_millis(row["fetched_at"]) for row in rows]
+        if times:
+            low, high = min(times), max(times)
             if self.seen.exists():
                 first, last = self.seen.get()
                 low, high = min(low, first), max(high, last)
+                self.handle.deleteTimer(last + self.quiet_ms)
             self.seen.update((low, high))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
             self.handle.registerTimer(high + self.quiet_ms)
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.seen.exists():
             first, last = self.seen.get()
             self.seen.clear()
-
-            def moment(ms):
-                return datetime.fromtimestamp(ms / 1000, tz=timezone.utc).replace(tzinfo=None)
-
-            yield pd.DataFrame({
-                "company_id": [key[0]], "content_hash": [key[1]],
-                "first_seen_at": [moment(first)], "last_seen_at": [moment(last)],
-            })
+            yield Row(
+                company_id=key[0], content_hash=key[1],
+                first_seen_at=_moment(first), last_seen_at=_moment(last),
+            )
 
     def close(self) -> None:
         pass
@@ -86,7 +86,7 @@ def last_seen_state(sightings: DataFrame, days: int = 7, lateness: str = "1 day"
     return (
         sightings.select("company_id", "content_hash", "fetched_at")
         .withWatermark("fetched_at", lateness).groupBy("company_id", "content_hash")
-        .transformWithStateInPandas(PostingLifetime(days), CLOSED, "append", "EventTime")
+        .transformWithState(PostingLifetime(days), CLOSED, "append", "EventTime")
     )
 
 

@@ -11,7 +11,7 @@ from postlens.operators.postings import KEY, new_postings, normalize_postings
 from postlens.operators.prices import price_lookup
 from postlens.sources import boards as B, embedded as E, intake, selectors as S
 
-DAY = F.lit("2026-07-30").cast("date")
+TODAY = "2026-07-30"
 
 
 def keys(spark, rows):
@@ -45,7 +45,7 @@ def job(spark, title, location="Bengaluru", description=None):
         [(1, 1, title, "https://x.com/1", location, description)],
         "company_id bigint, seq bigint, title string, url string, location string, description string",
     )
-    return normalize_postings(raw, DAY)
+    return normalize_postings(raw, F.lit(TODAY).cast("date"))
 
 
 def test_rule_score(spark):
