@@ -1,6 +1,6 @@
 """Keyed state: posting lifetimes and selector health.
 
-Both need the RocksDB state store:
+Selector health needs the RocksDB state store:
 ``spark.sql.streaming.stateStore.providerClass`` (see :func:`use_rocksdb`).
 """
 
@@ -8,27 +8,15 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 # The processors travel with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DAY_MS = 86_400_000
-
-
-def _millis(moment: datetime) -> int:
-    return round(moment.timestamp() * 1000)
-
-
-def _moment(millis: int) -> datetime:
-    return datetime.fromtimestamp(millis / 1000)
-
-
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
@@ -40,53 +28,20 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
-CLOSED = _schema(
-    company_id=T.LongType(), content_hash=T.StringType(),
-    first_seen_at=T.TimestampType(), last_seen_at=T.TimestampType(),
-)
-
-
-class PostingLifetime(StatefulProcessor):
-    """First and last sighting per posting; one row when it has been unseen too long."""
-
-    def __init__(self, days: int) -> None:
-        self.quiet_ms = days * DAY_MS
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", _schema(first=T.LongType(), last=T.LongType()))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        times = [_millis(row["fetched_at"]) for row in rows]
-        if times:
-            low, high = min(times), max(times)
-            if self.seen.exists():
-                first, last = self.seen.get()
-                low, high = min(low, first), max(high, last)
-                self.handle.deleteTimer(last + self.quiet_ms)
-            self.seen.update((low, high))
-            self.handle.registerTimer(high + self.quiet_ms)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.seen.exists():
-            first, last = self.seen.get()
-            self.seen.clear()
-            yield Row(
-                company_id=key[0], content_hash=key[1],
-                first_seen_at=_moment(first), last_seen_at=_moment(last),
-            )
-
-    def close(self) -> None:
-        pass
-
-
 def last_seen_state(sightings: DataFrame, days: int = 7, lateness: str = "1 day") -> DataFrame:
-    """``sightings(company_id, content_hash, fetched_at)`` to postings closed after ``days`` unseen."""
+    """``sightings(company_id, content_hash, fetched_at)`` to postings closed after ``days`` unseen.
+
+    A session window per posting is exactly this state: it grows with every sighting
+    and is emitted, with first and last time, once the watermark passes its end.  A
+    posting that comes back later opens a new one.
+    """
+    quiet = F.session_window("fetched_at", f"{days} days")
     return (
         sightings.select("company_id", "content_hash", "fetched_at")
-        .withWatermark("fetched_at", lateness).groupBy("company_id", "content_hash")
-        .transformWithState(PostingLifetime(days), CLOSED, "append", "EventTime")
+        .withWatermark("fetched_at", lateness)
+        .groupBy("company_id", "content_hash", quiet)
+        .agg(F.min("fetched_at").alias("first_seen_at"), F.max("fetched_at").alias("last_seen_at"))
+        .drop("session_window")
     )
 
 
