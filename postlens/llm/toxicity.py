@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, functions as F
 from postlens.llm.common import held_out, mix, utf8
 from postlens.llm.features import labelled_sample, sample_vectors, text_slices
 
-EXAMPLES = 1500       # examples per class in the index
-CALIBRATION = 2000    # further labelled rows per class for the logistic curve
+EXAMPLES = 3000       # examples per class in the index
+CALIBRATION = 1000    # further labelled rows per class for the logistic curve
 BLOCK = 64
 NEIGHBOURS = 25
-FEWEST = 5            # a term stands in so many examples at least
-COMMONEST = 0.3       # and in at most this share of all documents
-POWER = 2.0           # of the inverse document frequency
+FEWEST = 0.02         # a term stands in at least this share of the examples
+COMMONEST = 0.2       # and in at most this share of all documents
+POWER = 2.5           # of the inverse document frequency
 HELD_OUT = (5, 0)
 THRESHOLD = 0.5
 
@@ -121,7 +121,7 @@ def build(ids, toxic, doc, stem, count, frequency: dict[int, int], n_docs: int,
     """The index of the sampled examples; like examples stand near each other."""
     terms, found = np.unique(stem, return_counts=True)
     df = np.array([frequency.get(int(t), 1) for t in terms])
-    keep = (found >= FEWEST) & (df <= COMMONEST * max(n_docs, 1))
+    keep = (found >= max(2, FEWEST * len(ids))) & (df <= COMMONEST * max(n_docs, 1))
     terms, df = terms[keep], df[keep]
     idf = np.log((1 + n_docs) / (1 + df)) ** POWER
     index = Index(terms, idf, ids, toxic, np.zeros((len(terms), 1), np.float32), [], [], [], share)
@@ -204,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index | flo
     for k in (0, 1):
         own = by[y[by] == k]
         rank[own] = np.arange(len(own))
-    size = np.where(y == 1, (y == 1).sum(), (y == 0).sum())
-    example = rank < np.minimum(EXAMPLES, np.maximum(1, size * 3 // 5))
+    # as many examples of either class, so that a vote starts even
+    example = rank < min(EXAMPLES, max(1, int(min((y == 1).sum(), (y == 0).sum())) * 4 // 5))
     terms = np.unique(stem[example[doc]])
     spark = docs.sparkSession
     wanted = spark.createDataFrame(pa.table({"stem": np.append(terms, -1)}))
