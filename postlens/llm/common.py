@@ -141,7 +141,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
         return words
     size = min(size, len(words))
     n = len(words) - size + 1
-    total = np.full(n, _U(size) * _BASE, _U)
+    total = np.full(n, size * int(_BASE) & (1 << 64) - 1, _U)
     for k in range(size):
         total += words[k : k + n] * _STEP[k % 64]
         if k % 64 == 63:
