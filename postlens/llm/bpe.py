@@ -17,6 +17,7 @@ import functools
 import hashlib
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -212,44 +213,34 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokens(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep``, token_ids (array<int>) and decoded text of every row: the operator's full output."""
-    wanted = docs.select(*keep, "text")
-    schema = ", ".join(f"`{c}` {t}" for c, t in wanted.dtypes if c != "text")
+def _array(ids: list[str]) -> pa.Array:
+    lengths = [i.count(",") for i in ids]
+    flat = np.fromstring("".join(ids), np.int32, sep=",") if any(lengths) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(flat, pa.int32()))
 
-    def run(batches):
-        coder = encoder(path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in slices(texts):
-                got = coder.encode(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(a, b - a) for n, c in zip(batch.schema.names, batch.columns) if n != "text"),
-                     pa.array([[int(i) for i in ids.split(",")[:-1]] for ids, _ in got], pa.list_(pa.int32())),
-                     pa.array([t.decode("utf-8", "replace") for _, t in got], pa.string())],
-                    [*keep, "token_ids", "decoded"],
-                )
-    return wanted.mapInArrow(run, f"{schema}, token_ids array<int>, decoded string")
 
+def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True, decoded: bool = False) -> DataFrame:
+    """``keep``, n_tokens, the SHA-256 of the comma-joined ids and of the decoded text, and on demand
+    token_ids and the decoded text itself, of every row."""
+    extra = ["token_ids array<int>"] * ids + ["decoded string"] * decoded
+    names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(e.split(" ")[0] for e in extra)]
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of the comma-joined ids and of the decoded text."""
     def run(batches):
         coder = encoder(path)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = [], [], []
+            held = {n: batch.column(n) for n in keep}
             for a, b in slices(texts):
-                for ids, decoded in coder.encode(texts[a:b]):
-                    rows[0].append(ids.count(","))
-                    rows[1].append(hashlib.sha256(ids[:-1].encode()).hexdigest())
-                    decoded = decoded.decode("utf-8", "replace").encode()
-                    rows[2].append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()),
-                 pa.array(rows[2], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+                got = coder.encode(texts[a:b])
+                back = [t.decode("utf-8", "replace") for _, t in got]
+                yield pa.RecordBatch.from_arrays([
+                    *(c.slice(a, b - a) for c in held.values()),
+                    pa.array([i.count(",") for i, _ in got], pa.int64()),
+                    pa.array([hashlib.sha256(i[:-1].encode()).hexdigest() for i, _ in got], pa.string()),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
+                    *([_array([i for i, _ in got])] if ids else []), *([pa.array(back, pa.string())] if decoded else []),
+                ], names)
+
+    kinds = dict(docs.dtypes)
+    schema = [*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *extra]
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(schema))

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.common import held_out, utf8
@@ -150,6 +151,18 @@ def score(docs: DataFrame, model: Machine | float, keep: list[str]) -> DataFrame
     return wanted.mapInArrow(scorer(model), schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the classifier does not reject."""
+    model = fit(docs, labels)
+
+    def run(batches):
+        for batch in batches:
+            scores = pa.concat_arrays([b.column("score") for b in scorer(model)([batch.select(["text"])])])
+            yield batch.filter(pc.greater_equal(scores, THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from ``THRESHOLD`` on) of every document."""
     return score(docs, fit(docs, labels), ["doc_id"]).select(
