@@ -84,7 +84,7 @@ FROM p JOIN m ON p.html = m.html
 """
 
 SPANS = """
-WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, len(encode(coalesce(text, ''))) AS n FROM documents),
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
 w AS MATERIALIZED (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS s FROM t)),
 d AS (SELECT doc_id, s FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
 g AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM d),
