@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from postlens.llm.common import slices
+from postlens.llm.common import slices, small_batches
 
 MOST_PIECES = 600_000        # entries of the worker's table before it starts anew
 
@@ -241,6 +241,6 @@ def encoded(docs: DataFrame, path: str, keep: list[str], ids: bool = True, decod
                     *([_array([i for i, _ in got])] if ids else []), *([pa.array(back, pa.string())] if decoded else []),
                 ], names)
 
-    kinds = dict(docs.dtypes)
+    kinds = dict(small_batches(docs).dtypes)
     schema = [*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long", "ids_sha256 string", "decoded_sha256 string", *extra]
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(schema))

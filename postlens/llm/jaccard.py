@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.common import (
-    components, has_bit, key_bits, mix, partitions, shingle_hashes, slices, utf8, word_hashes, written,
+    components, has_bit, key_bits, mix, partitions, shingle_hashes, slices, small_batches, utf8, word_hashes, written,
 )
 
 SKETCH_BITS = 20
@@ -362,7 +362,7 @@ def linked(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; a component is what links of at least num/den reach."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rows, counts = profile(docs, size)
     sketch = spark.sparkContext.broadcast(counts)
     entries = written(prefixes(docs, size, num, den, sketch), "prefixes")

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.common import held_out, utf8
+from postlens.llm.common import held_out, small_batches, utf8
 from postlens.llm.features import (
     STATISTICS, bucket, labelled_sample, sample_vectors, text_slices,
 )
@@ -104,7 +104,7 @@ def train(doc, stem, count, statistics, label, seed: int = 1) -> Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine | float:
     """A machine, or the known share of label 1 when a class is missing."""
-    sample = labelled_sample(labels, label, *HELD_OUT, SAMPLE)
+    sample = labelled_sample(small_batches(labels), label, *HELD_OUT, SAMPLE)
     counts = {
         r[0]: r[1] for r in labels.where(F.col(label).isin(0, 1))
         .where(~held_out(F.col("doc_id"), *HELD_OUT))

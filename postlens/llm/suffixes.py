@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.common import (
-    has_bit, key_bits, mix, partitions, powers, running_hash, span_hash, utf8, written,
+    has_bit, key_bits, mix, partitions, powers, running_hash, small_batches, span_hash, utf8, written,
 )
 
 SPAN = 400
@@ -302,7 +302,7 @@ def zone_windows(rows: DataFrame, span: int) -> DataFrame:
 
 def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, key, start, end): byte ranges whose windows are duplicates."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     every = written(suffix_tuples(docs, span), "tuples")
     again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     some = written(every.join(again, "gram", "left_semi"), "candidates")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.common import held_out, mix, utf8
+from postlens.llm.common import held_out, mix, small_batches, utf8
 from postlens.llm.features import labelled_sample, sample_vectors, text_slices
 
 EXAMPLES = 3000       # examples per class in the index
@@ -191,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index | flo
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return float(share)
-    sample = labelled_sample(labels, label, *HELD_OUT, EXAMPLES + CALIBRATION)
+    sample = labelled_sample(small_batches(labels), label, *HELD_OUT, EXAMPLES + CALIBRATION)
     got = sample_vectors(docs, sample).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy().astype(np.int64)
     if len(set(y)) < 2:

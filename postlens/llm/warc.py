@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.common import work_path, written
+from postlens.llm.common import small_batches, work_path, written
 
 ARCHIVE_BYTES = 32 << 20       # a new archive begins beyond this size
 EPOCH = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -131,7 +131,7 @@ def parse(data: bytes) -> dict:
 def write_archives(pages: DataFrame) -> DataFrame:
     """(archive, records): archives in the shared folder, made once."""
     digest = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest"))
+    rows = small_batches(pages).select("page_id", "url", "html", digest.alias("digest"))
     stored = rows.groupBy("digest").agg(F.max("page_id").alias("stored"))
     rows = rows.join(stored, "digest").select("page_id", "url", "html", "stored")
     folder = work_path(pages.sparkSession, "warc")
