@@ -304,10 +304,11 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, key, start, end): byte ranges whose windows are duplicates."""
     spark = small_batches(docs).sparkSession
     every = written(suffix_tuples(docs, span), "tuples")
-    again = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # counts are written before they are joined, so that AQE can split a frequent gram's rows
+    again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     some = written(every.join(again, "gram", "left_semi"), "candidates")
     names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n")), "names")
-    kinds = names.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = written(names.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     open_ = written(
         some.join(kinds, "gram").dropDuplicates(["gram", "name"])
         .withColumn("many", F.col("kinds") > GROUP).drop("kinds"), "open",
@@ -322,7 +323,9 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     large = pieces.where("many")
     if not large.isEmpty():
         windows = windows.union(zone_windows(large, span))
-    windows = written(windows, "windows")
+    # a name that occurs twice is settled whole
+    once = names.where("n = 1").select("gram", "name")
+    windows = written(windows.join(once, ["gram", "name"], "left_semi"), "windows")
     ranges.append(some.join(windows, ["gram", "name"]).select(
         "doc_id", "key", (F.col("pos") - F.col("to")).alias("start"), (F.col("pos") - F.col("from") + span).alias("end"),
     ))
