@@ -289,7 +289,9 @@ def zone_windows(rows: DataFrame, span: int) -> DataFrame:
             "gram", "name", F.col("low").alias("from"), F.col("high").alias("to")
         )
         found = settled if found is None else found.union(settled)
-        mixed = kinds.groupBy("gram", "zone", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        mixed = written(
+            kinds.groupBy("gram", "zone", "core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "zone-kinds"
+        )
         # of a name that occurs twice one tuple goes on, as a partner for the others
         open_ = written(
             named.join(mixed, ["gram", "zone", "core"], "left_semi")
