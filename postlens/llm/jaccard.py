@@ -39,6 +39,7 @@ from postlens.llm.common import (
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
 LONG = 5000            # entries; longer lists are handled by joins
+PART = 256             # entries; in longer parts of a list every entry stays a candidate
 CHUNK = 140            # sets of a side of a block
 _U = np.uint64
 
@@ -129,19 +130,21 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
-    """(token, set, pos, long): the prefix entries of every set, once per task and set."""
+    """(token, set, n, pos, long): the prefix entries of every set, once per task and set."""
     def run(batches):
         counts, seen = sketch.value, set()
-        tokens, sets, places = [], [], []
+        tokens, sets, places, sizes = [], [], [], []
 
         def flush():
             token = np.concatenate(tokens)
+            lengths = [len(t) for t in tokens]
             heavy = counts[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)] >= LONG
             out = pa.RecordBatch.from_arrays([
-                pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(sets, np.int64), [len(t) for t in tokens])),
+                pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(sets, np.int64), lengths)),
+                pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
                 pa.array(np.concatenate(places).astype(np.int32)), pa.array(heavy),
-            ], ["token", "set", "pos", "long"])
-            for x in (tokens, sets, places):
+            ], ["token", "set", "n", "pos", "long"])
+            for x in (tokens, sets, places, sizes):
                 x.clear()
             return out
 
@@ -155,32 +158,61 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFram
             tokens.append(first)
             sets.append(set_key(fp))
             places.append(np.arange(len(first)))
+            sizes.append(len(own))
             if len(tokens) == 500:
                 yield flush()
         if tokens:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, set long, pos int, long boolean")
+    return docs.select("text").mapInArrow(run, "token long, set long, n int, pos int, long boolean")
 
 
-def short_lists(entries: DataFrame) -> DataFrame:
-    """(pivot, set) from lists that fit a task: sorted by shingle, position and set."""
+def may_link(n: np.ndarray, room: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which entries of a list can link with another one, by sizes and by what follows their positions."""
+    need = -(-num * (n[:, None] + n[None, :]) // (num + den))
+    fits = np.minimum(room[:, None], room[None, :]) >= need
+    np.fill_diagonal(fits, False)
+    return fits.any(1)
+
+
+def short_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, set) from lists that fit a task.
+
+    A list is kept in the order of size.  Where the next size is too large for a link the list is cut,
+    and in a part, entries whose position leaves too few shingles for any partner are skipped.
+    """
     def run(batches):
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        token, own, pos = (table[c].to_numpy() for c in ("token", "set", "pos"))
-        order = np.lexsort((own, pos, token))
-        token, own = token[order], own[order]
-        start = np.ones(len(token), bool)
-        start[1:] = token[1:] != token[:-1]
+        token, own, n, pos = (table[c].to_numpy() for c in ("token", "set", "n", "pos"))
+        order = np.lexsort((own, n, token))
+        token, own, n, pos = token[order], own[order], n[order].astype(np.int64), pos[order]
+        cut = np.ones(len(token), bool)
+        cut[1:] = (token[1:] != token[:-1]) | (num * n[1:] > den * n[:-1])
+        begin = np.flatnonzero(cut)
+        length = np.diff(begin, append=len(token))
+        keep = np.zeros(len(token), bool)
+        pair = begin[length == 2]
+        need = -(-num * (n[pair] + n[pair + 1]) // (num + den))
+        good = pair[np.minimum(n[pair] - pos[pair], n[pair + 1] - pos[pair + 1]) >= need]
+        keep[good] = keep[good + 1] = True
+        for a, k in zip(begin[length > 2], length[length > 2]):
+            few = slice(a, a + k)
+            keep[few] = k > PART or may_link(n[few], n[few] - pos[few], num, den)
+        part = np.cumsum(cut) - 1
+        token, own, pos, part = token[keep], own[keep], pos[keep], part[keep]
+        order = np.lexsort((own, pos, part))
+        own, part = own[order], part[order]
+        start = np.ones(len(part), bool)
+        start[1:] = part[1:] != part[:-1]
         number = np.cumsum(start) - 1
         pivot = own[start][number]
-        many = np.bincount(number, weights=own != pivot)[number] > 0
+        many = np.bincount(number, weights=own != pivot)[number] > 0 if len(own) else np.zeros(0, bool)
         pairs = np.unique(np.stack([pivot[many], own[many]], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["pivot", "set"])
 
-    return entries.select("token", "set", "pos").repartition(
+    return entries.select("token", "set", "n", "pos").repartition(
         partitions(entries.sparkSession), "token"
     ).mapInArrow(run, "pivot long, set long")
 
@@ -194,9 +226,9 @@ def long_lists(entries: DataFrame) -> DataFrame:
     return entries.join(best, "token").select(F.expr("best & 281474976710655").alias("pivot"), "set")
 
 
-def groups(entries: DataFrame) -> DataFrame:
+def groups(entries: DataFrame, num: int, den: int) -> DataFrame:
     """(pivot, set, a, b, side): blocks of sets that must be joined with each other."""
-    pairs = short_lists(entries.where("not long")).union(long_lists(entries.where("long"))).distinct()
+    pairs = short_lists(entries.where("not long"), num, den).union(long_lists(entries.where("long"))).distinct()
     pairs = written(pairs, "groups")
     sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
     chunks = F.ceil(F.col("n") / CHUNK).cast("long")
@@ -366,7 +398,7 @@ def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100)
     rows, counts = profile(docs, size)
     sketch = spark.sparkContext.broadcast(counts)
     entries = written(prefixes(docs, size, num, den, sketch), "prefixes")
-    blocks = written(groups(entries), "blocks")
+    blocks = written(groups(entries, num, den), "blocks")
     bits = spark.sparkContext.broadcast(key_bits(blocks.select("set").distinct(), "set"))
     links = written(linked(blocks, wanted_sets(docs, size, bits), num, den), "links")
     roots = components(links)
