@@ -303,7 +303,7 @@ def zone_windows(rows: DataFrame, span: int) -> DataFrame:
 # --- removal ------------------------------------------------------------------------------------
 
 def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc_id, key, start, end): byte ranges whose windows are duplicates."""
+    """(doc_id, key, items): per row the byte ranges (start, end) whose windows are duplicates."""
     spark = small_batches(docs).sparkSession
     every = written(suffix_tuples(docs, span), "tuples")
     # counts are written before they are joined, so that AQE can split a frequent gram's rows
@@ -316,22 +316,25 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         .withColumn("many", F.col("kinds") > GROUP).drop("kinds"), "open",
     )
     twice = names.where("n > 1").select("gram", "name")
-    ranges = [some.join(twice, ["gram", "name"], "left_semi").select(
-        "doc_id", "key", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + span).alias("end"),
-    )]
+    settled = some.join(twice, ["gram", "name"], "left_semi").select(
+        "doc_id", "key", F.array(F.struct(
+            (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + span).alias("end")
+        )).alias("parts"),
+    )
     bits = spark.sparkContext.broadcast(key_bits(open_.select("key").distinct(), "key"))
     pieces = written(contexts(docs, open_, bits, span), "contexts")
     windows = shard_windows(pieces.where("not many"), span)
     large = pieces.where("many")
     if not large.isEmpty():
         windows = windows.union(zone_windows(large, span))
-    # a name that occurs twice is settled whole
+    # one row per tuple, with at most as many parts as it has windows; a name that occurs twice is settled
     once = names.where("n = 1").select("gram", "name")
-    windows = written(windows.join(once, ["gram", "name"], "left_semi"), "windows")
-    ranges.append(some.join(windows, ["gram", "name"]).select(
-        "doc_id", "key", (F.col("pos") - F.col("to")).alias("start"), (F.col("pos") - F.col("from") + span).alias("end"),
-    ))
-    return ranges[0].union(ranges[1])
+    parts = windows.groupBy("gram", "name").agg(F.collect_set(F.struct("from", "to")).alias("windows"))
+    parts = written(parts.join(once, ["gram", "name"], "left_semi"), "windows")
+    solved = some.join(parts, ["gram", "name"]).select("doc_id", "key", F.transform(
+        "windows", lambda w: F.struct((F.col("pos") - w["to"]).alias("start"), (F.col("pos") - w["from"] + span).alias("end"))
+    ).alias("parts"))
+    return settled.union(solved).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("parts")).alias("items"))
 
 
 def merged(items) -> list[tuple[int, int]]:
@@ -347,9 +350,7 @@ def merged(items) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, items) of the rows that may lose bytes, with their ranges; (doc_id, text) of the others."""
-    spans = written(duplicate_spans(docs, span).groupBy("doc_id", "key").agg(
-        F.collect_set(F.struct("start", "end")).alias("items")
-    ), "spans")
+    spans = written(duplicate_spans(docs, span), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(spans.select("key"), "key"))
     rest = texts_of(docs, bits, False).select("doc_id", "text")
     return with_texts(docs, spans, bits, "left"), rest
@@ -388,8 +389,7 @@ def without_duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     Other columns stay; ``n_chars`` follows the text.  A null text stays null.
     """
-    spans = duplicate_spans(docs, span).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("items"))
-    spans = written(spans, "spans")
+    spans = written(duplicate_spans(docs, span), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(spans.select("key"), "key"))
     names, schema = docs.columns, docs.schema
 
