@@ -101,10 +101,13 @@ def skill_dictionary() -> dict[str, str]:
     return table
 
 
-def token_shingles(key: Column) -> Column:
-    """Words and word pairs of a folded text (no skill has more than two words)."""
-    pairs = F.regexp_extract_all(key, F.lit(r"(?=([a-z0-9]+ [a-z0-9]+))[a-z0-9]+"), F.lit(1))
-    return F.concat(F.split(key, " "), pairs)
+def token_shingles(key: Column, longest: int) -> Column:
+    """Runs of one to ``longest`` words of a folded text."""
+    runs = [
+        F.regexp_extract_all(key, F.lit(rf"(?=([a-z0-9]+(?: [a-z0-9]+){{{n - 1}}}))[a-z0-9]+"), F.lit(1))
+        for n in range(2, longest + 1)
+    ]
+    return F.concat(F.split(key, " "), *runs)
 
 
 def skills_in_key(key: Column) -> Column:

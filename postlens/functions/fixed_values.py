@@ -212,7 +212,6 @@ BLOCK_MARKERS = (
     "px-captcha",
 )
 WEAK_BLOCK_MARKERS = ("captcha", "recaptcha", "bot detection", "unusual traffic")
-BLOCK_WINDOW = 20_000
 LOW_TEXT_VOLUME = 2_000
 TEXT_COST_PER_TAG = 12
 
@@ -248,7 +247,6 @@ BODY_MARKERS = {
     "successfactors": ("successfactors", "sapsf", "jobsearchresultsform"),
     "taleo": ("careersection", "taleo", "oracletaleocwsv2"),
 }
-MARKER_WINDOW = 200_000
 
 BOARD_TOKEN_PATTERNS = {
     "greenhouse": (
@@ -323,7 +321,6 @@ TITLE_LIMIT = 512
 URL_LIMIT = 2_048
 LOCATION_LIMIT = 512
 SHORT_TEXT_LIMIT = 255
-RAW_VALUE_LIMIT = 20_000
 HASH_VERSION = "1"
 
 MIN_CONFIDENCE = 0.6

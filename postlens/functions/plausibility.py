@@ -40,6 +40,6 @@ def looks_like_spa(html: Column) -> Column:
 
 def looks_blocked(html: Column) -> Column:
     text = F.lower(html)
-    return F.substring(text, 1, V.BLOCK_WINDOW).rlike(_any_of(V.BLOCK_MARKERS)) | (
+    return text.rlike(_any_of(V.BLOCK_MARKERS)) | (
         text.rlike(_any_of(V.WEAK_BLOCK_MARKERS)) & (text_volume(html) < V.LOW_TEXT_VOLUME)
     )

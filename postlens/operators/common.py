@@ -36,14 +36,6 @@ def is_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def small_side(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its row count is within the bound.
-
-    Beyond the bound the frame is returned as it is and the join shuffles.
-    """
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key.
 

@@ -19,7 +19,7 @@ def platform_detect(pages: DataFrame, rendered: bool = False) -> DataFrame:
     registry order, not a join.  ``rendered`` says that ``html`` is the rendered page.
     """
     url = F.lower("url")
-    body = F.lower(F.substring("html", 1, V.MARKER_WINDOW))
+    body = F.lower("html")
     by_host = F.coalesce(*[
         F.when(contains_any(url, V.HOST_MARKERS[p]), F.lit(p)) for p in V.REGISTRY_ORDER if p in V.HOST_MARKERS
     ])

@@ -202,20 +202,21 @@ def count_since(postings: DataFrame, now: Column, hours: int) -> DataFrame:
     return postings.filter(F.col("first_seen_at") >= since).agg(F.count(F.lit(1)).alias("n"))
 
 
-def skill_token_join(texts: DataFrame, key: str, text: str) -> DataFrame:
+def skill_token_join(texts: DataFrame, key: str, text: str, table: dict[str, str] | None = None) -> DataFrame:
     """``(key, skills)`` by an equi join of word shingles with the dictionary.
 
-    The dictionary is a fixed list of under a hundred rows; each text is folded
-    once.  Texts without any term give no row.
+    ``table`` maps folded terms to names, by default the fixed list of under a hundred; its longest term
+    says how many words a shingle has.  Each text is folded once.  Texts without any term give no row.
     """
-    table = skill_dictionary()
+    table = table or skill_dictionary()
+    longest = max(len(k.split(" ")) for k in table)
     spark = texts.sparkSession
     dictionary = spark.createDataFrame(
         [(k, name, i) for i, (k, name) in enumerate(table.items())],
         "shingle string, skill string, rank int",
     )
     shingles = texts.select(
-        key, F.explode(F.array_distinct(token_shingles(normalize_key(F.col(text))))).alias("shingle")
+        key, F.explode(F.array_distinct(token_shingles(normalize_key(F.col(text)), longest))).alias("shingle")
     )
     hits = shingles.join(F.broadcast(dictionary), "shingle")
     found = hits.groupBy(key).agg(F.collect_set(F.struct("rank", "skill")).alias("found"))

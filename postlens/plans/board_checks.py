@@ -211,7 +211,7 @@ def board_registry(spark, sf):
 
 
 def raw_payload_trim(spark, sf):
-    """Records that hold a whole document each; long values are cut."""
+    """Records that hold a whole document each."""
     docs = spread(view(prepare(spark), sf, "documents")).select(
         "doc_id", F.concat(F.lit("t"), "doc_id").alias("title"), col("source").alias("url"), _null().alias("posted_at"),
         F.create_map(F.lit("text"), "text", F.lit("_source_url"), F.lit("own")).alias("raw"),
@@ -251,7 +251,7 @@ def payload_pages(spark, sf):
         "run_id", "company_id", (F.row_number().over(Window.partitionBy("company_id").orderBy("started_at", "run_id")) - 1).alias("page_no"),
         col("jobs_found").alias("n_items"), (col("company_id") * 7 + 50).alias("total"),
     )
-    return intake.assemble_payload_pages(numbered, page_size=20, max_pages=15).select("run_id", "page_no")
+    return intake.assemble_payload_pages(numbered, page_size=20).select("run_id", "page_no")
 
 
 QUERIES = {f"{p}_postings": _board(p) for p in ENTRIES} | {
@@ -309,14 +309,14 @@ def _sql() -> dict[str, str]:
             UNION ALL SELECT description, count(*), 'eightfold' FROM v_postings WHERE description IS NOT NULL GROUP BY 1""",
         "land_raw_postings": f"""{v} SELECT company_id, count(*) * CASE WHEN company_id % 3 = 0 THEN 7 ELSE 8 END AS n,
             count(*) * CASE WHEN company_id % 3 = 0 THEN 7 ELSE 8 END AS with_location FROM v_postings GROUP BY 1""",
-        "raw_payload_trim": """SELECT doc_id, CAST(least(length(text), 20000) AS INTEGER) AS kept_chars, md5(substring(text, 1, 20000)) AS text_md5,
+        "raw_payload_trim": """SELECT doc_id, CAST(length(text) AS INTEGER) AS kept_chars, md5(text) AS text_md5,
             't' || CAST(doc_id AS VARCHAR) AS source_title, 'own' AS source_url, 4 AS keys FROM documents""",
         "seed_list": "SELECT min(page_id) * 4 AS line_no, url, 'Name ' || CAST(min(page_id) AS VARCHAR) || ' | x' AS name FROM pages GROUP BY url",
         "skill_list": """WITH t AS (SELECT conv_id * 1000 + turn AS line_no, trim(split_part(text, ' ', 1)) AS skill FROM conversations),
             r AS (SELECT *, row_number() OVER (PARTITION BY lower(skill) ORDER BY line_no) AS rn FROM t WHERE skill <> '' AND NOT starts_with(skill, '#')) SELECT line_no, skill FROM r WHERE rn = 1""",
         "assemble_payload_pages": with_views("v_runs") + """, n AS (SELECT run_id, company_id, CAST(row_number() OVER w - 1 AS INTEGER) AS page_no, jobs_found, company_id * 7 + 50 AS total FROM v_runs WINDOW w AS (PARTITION BY company_id ORDER BY started_at, run_id)),
             m AS (SELECT *, coalesce(sum(jobs_found) OVER p, 0) AS got, coalesce(max(CASE WHEN jobs_found < 20 THEN 1 ELSE 0 END) OVER p, 0) AS short FROM n WINDOW p AS (PARTITION BY company_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-            SELECT run_id, page_no FROM m WHERE page_no < 15 AND (page_no = 0 OR (short = 0 AND got < total))""",
+            SELECT run_id, page_no FROM m WHERE (page_no = 0 OR (short = 0 AND got < total))""",
     }
     return out
 

@@ -205,7 +205,7 @@ parts AS (SELECT *,
       WHEN remote_type = 'remote' THEN 625 WHEN location_raw IS NULL THEN CASE WHEN include_unknown THEN 1250 ELSE 500 END ELSE 250 END END AS location_e4,
     CASE WHEN veto_reason IS NULL THEN CASE jr - pr WHEN 0 THEN 2500 WHEN 1 THEN 1750 WHEN -1 THEN 1250 ELSE CASE WHEN jr > pr THEN 375 ELSE 625 END END END AS seniority_e4,
     CASE WHEN veto_reason IS NULL THEN list_filter(want, lambda s: contains(' ' || {S.key("ktext || ' ' || array_to_string(det, ' ')")} || ' ', ' ' || {S.key('s')} || ' ')) ELSE CAST([] AS VARCHAR[]) END AS matched FROM vetoes),
-scored AS (SELECT *, coalesce(role_e4 + location_e4 + seniority_e4, 0) AS score_e4,
+scored AS MATERIALIZED (SELECT *, coalesce(role_e4 + location_e4 + seniority_e4, 0) AS score_e4,
     CASE WHEN veto_reason IS NULL THEN list_filter(want, lambda s: NOT list_contains(matched, s)) ELSE CAST([] AS VARCHAR[]) END AS missing,
     veto_reason IS NULL AND role_e4 + location_e4 + seniority_e4 >= round(threshold * 10000) AS is_match,
     CASE WHEN veto_reason IS NOT NULL THEN 'Excluded: ' || veto_reason ELSE coalesce(nullif(concat_ws('; ',
@@ -218,7 +218,7 @@ scored AS (SELECT *, coalesce(role_e4 + location_e4 + seniority_e4, 0) AS score_
 def _sql() -> dict[str, str]:
     s = _scored_ctes()
     k = "company_id, content_hash"
-    short = f"""short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score_e4 DESC, seq, content_hash, company_id) AS srn
+    short = f"""short AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY score_e4 DESC, seq, content_hash, company_id) AS srn
         FROM scored WHERE veto_reason IS NULL AND score_e4 >= round(threshold * 0.6 * 10000)) WHERE srn <= 25)"""
     runs = f"v_runs AS ({VIEWS['v_runs']})"
     levels = S.seniority("title", "chr(10) || d")

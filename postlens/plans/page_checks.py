@@ -137,7 +137,7 @@ def _sql() -> dict[str, str]:
             s AS (SELECT host, u, min(no) AS no FROM l GROUP BY ALL), f AS (SELECT host, no, count(*) AS n_fresh FROM s GROUP BY ALL),
             c AS (SELECT n.host, n.no, n.page_id, (SELECT count(*) FROM l WHERE l.page_id = n.page_id) AS n_links, coalesce(n_fresh, 0) AS n_fresh FROM n LEFT JOIN f ON f.host = n.host AND f.no = n.no),
             e AS (SELECT host, min(no) FILTER (n_fresh = 0) AS stop FROM c GROUP BY 1)
-            SELECT page_id, n_links, n_fresh FROM c JOIN e USING (host) WHERE no = 1 OR (no < coalesce(stop, 1000000000) AND no < 16)""",
+            SELECT page_id, n_links, n_fresh FROM c JOIN e USING (host) WHERE no = 1 OR no < coalesce(stop, 1000000000)""",
         "platform_detect": f"""SELECT page_id, coalesce(CASE {hosts} END, CASE {bodies} END, CASE WHEN {spa} THEN 'custom_react' ELSE 'generic_html' END) AS platform,
             CAST(CASE WHEN CASE {hosts} END IS NOT NULL THEN 0.95 WHEN CASE {bodies} END IS NOT NULL THEN 0.75 WHEN {spa} THEN 0.4 ELSE 0.5 END AS DOUBLE) AS confidence,
             CASE WHEN CASE {hosts} END IS NOT NULL THEN 'hostname' ELSE 'body' END AS evidence FROM pages""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
-from postlens.operators.postings import KEY, new_postings, normalize_postings
+from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join
 from postlens.operators.prices import price_lookup
 from postlens.sources import boards as B, embedded as E, intake, selectors as S
 
@@ -210,6 +210,9 @@ def test_seeds(spark):
     assert [(r.url, r.name) for r in got] == [("https://a.com", "A | x"), ("http://b.com", None)]
     with pytest.raises(Exception, match="not a URL"):
         intake.seed_list(lines("ftp://x")).collect()
+    for nothing in (lines("# c", ""), lines("x").limit(0)):
+        with pytest.raises(Exception, match="no links"):
+            intake.seed_list(nothing).collect()
     assert [r.skill for r in intake.skill_list(lines("Go", "C#", "go", "# no")).collect()] == ["Go", "C#"]
 
 
@@ -222,3 +225,17 @@ def test_reingest_adds_nothing(spark):
     rows = job(spark, "Backend Engineer")
     assert new_postings(rows, rows, [F.col("title")]).count() == 0
     assert rows.select(*KEY).distinct().count() == 1
+
+
+def test_no_cut_hides_rows(spark):
+    links = spark.createDataFrame([(1, p, f"https://a.com/{p}") for p in range(1, 41)], "company_id int, page_no int, url string")
+    assert intake.assemble_pages(links).count() == 40
+    assert intake.assemble_pages(links, max_pages=3).count() == 3
+    pages = spark.createDataFrame([(1, p, 20, 10_000) for p in range(40)], "company_id int, page_no int, n_items int, total int")
+    assert intake.assemble_payload_pages(pages, 20).count() == 40
+    texts = spark.createDataFrame([(1, "Knows Very Long Skill Name well"), (2, "skill name")], "k int, t string")
+    table = {"very long skill name": "VLSN", "skill": "S"}
+    got = {r.k: r.skills for r in skill_token_join(texts, "k", "t", table).collect()}
+    assert got == {1: ["VLSN", "S"], 2: ["S"]}
+    raw = spark.createDataFrame([("t", "u", "p", {"text": "x" * 50_000})], "title string, url string, posted_at string, raw map<string,string>")
+    assert len(B.raw_payload_trim(raw).collect()[0].raw["text"]) == 50_000
