@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -30,8 +31,11 @@ def _own_folder() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder all executors share.  Only a session of one machine may have none (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return root or _own_folder()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
