@@ -8,10 +8,6 @@ from functools import wraps
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Tables that are configuration by nature (profiles, markers, prices) may be copied
-# to every task up to this many rows; larger ones go through a shuffle.
-SMALL_TABLE_ROWS = 2_000
-
 
 def per_context(build: Callable):
     """Keep what ``build`` returns for the life of the Spark context.
@@ -31,11 +27,6 @@ def per_context(build: Callable):
     return get
 
 
-def is_small(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> bool:
-    """Has ``df`` at most ``limit`` rows?  Reads no more than ``limit`` + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key.
 

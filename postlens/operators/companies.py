@@ -18,13 +18,11 @@ def companies_filter(companies: DataFrame, platform: str | None = None, is_activ
     return out.orderBy("name")
 
 
-def due_for_scan(companies: DataFrame, now: Column, limit: int = V.DUE_LIMIT) -> DataFrame:
+def due_for_scan(companies: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Active companies whose time has come, never-scanned ones first."""
     due = F.col("next_scan_at").isNull() | (F.col("next_scan_at") <= now)
-    return (
-        companies.filter("is_active").filter(due)
-        .orderBy(F.col("next_scan_at").asc_nulls_first(), "company_id").limit(limit)
-    )
+    ordered = companies.filter("is_active").filter(due).orderBy(F.col("next_scan_at").asc_nulls_first(), "company_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def posting_company(postings: DataFrame, companies: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return first_per_key(runs, ["company_id"], [F.col("started_at").desc(), F.col("run_id").desc()])
 
 
-def recent_runs(runs: DataFrame, n: int = 50) -> DataFrame:
+def recent_runs(runs: DataFrame, n: int) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(n)
 
 

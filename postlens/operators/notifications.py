@@ -29,10 +29,11 @@ def newest_first() -> list[Column]:
 
 
 def retryable(
-    notifications: DataFrame, max_attempts: int = V.RETRY_ATTEMPTS, limit: int = V.RETRY_LIMIT
+    notifications: DataFrame, max_attempts: int = V.RETRY_ATTEMPTS, limit: int | None = None
 ) -> DataFrame:
     failed = notifications.filter((F.col("status") == "failed") & (F.col("attempts") < max_attempts))
-    return failed.orderBy("created_at", "notification_id").limit(limit)
+    ordered = failed.orderBy("created_at", "notification_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def notification_log(notifications: DataFrame, postings: DataFrame, users: DataFrame) -> DataFrame:

@@ -30,10 +30,11 @@ def degraded_selectors(selectors: DataFrame, threshold: float = V.MIN_CONFIDENCE
 
 
 def relearn_candidates(
-    selectors: DataFrame, companies: DataFrame, threshold: float = V.MIN_CONFIDENCE, limit: int = 20
+    selectors: DataFrame, companies: DataFrame, threshold: float = V.MIN_CONFIDENCE, limit: int | None = None
 ) -> DataFrame:
     """Worst degraded selectors, each with the first active company of its website."""
-    worst = degraded_selectors(selectors, threshold).limit(limit)
+    worst = degraded_selectors(selectors, threshold)
+    worst = worst if limit is None else worst.limit(limit)
     first = first_per_key(companies.filter("is_active"), ["website"], [F.col("name"), F.col("company_id")])
     return worst.join(first.select("website", "company_id", "name"), "website")
 

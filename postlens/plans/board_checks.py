@@ -290,7 +290,7 @@ def _sql() -> dict[str, str]:
                                   posted_at="posted_at", employment_type="'Full time'"),
         "smartrecruiters_postings": board(url=f"CASE WHEN {even} THEN url ELSE 'https://jobs.smartrecruiters.com/t' || company_id || '/' || {s} END", external_id=s,
                                           location="concat_ws(', ', location, 'de')", department="''", employment_type="''", posted_at="posted_at", remote="CASE WHEN company_id % 2 = 1 THEN 'remote' END"),
-        "eightfold_postings": board(url=f"{base} || '/careers/job/' || {s}", external_id=s, location="CASE WHEN location IS NULL THEN 'B; C; D' ELSE location || '; B; C' END",
+        "eightfold_postings": board(url=f"{base} || '/careers/job/' || {s}", external_id=s, location="CASE WHEN location IS NULL THEN 'B; C; D' ELSE location || '; B; C; D' END",
                                     department="''", remote="'onsite'", posted_at="'1753000000'"),
         "uber_postings": board(url=f"{base} || CASE WHEN {even} THEN '/b' ELSE '/en/jobs/' || {s} || '/' END", external_id=s, location="concat_ws(', ', location, 'US')", description=desc0,
                                requirements="''", department="'Ops'", employment_type="''", remote=f"CASE WHEN {even} THEN 'remote' END", salary=f"CASE WHEN {even} THEN 'EUR 10-20' ELSE salary END", posted_at="posted_at"),

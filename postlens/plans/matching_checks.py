@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlens.functions import fixed_values as V
 from postlens.operators import companies as C, matching as M, notifications as N
 from postlens.operators.enrichment import enrich_update, enrichment_report
 from postlens.operators.postings import within_batch_dedup
@@ -40,7 +41,7 @@ def score_components(spark, sf):
 
 
 def semantic_shortlist(spark, sf):
-    return M.semantic_shortlist(_scored(spark, sf)).select(*KEYS, "profile_id", "score_e4")
+    return M.semantic_shortlist(_scored(spark, sf), V.SHORTLIST_SIZE).select(*KEYS, "profile_id", "score_e4")
 
 
 def _external(spark, sf) -> DataFrame:
@@ -55,7 +56,7 @@ def _external(spark, sf) -> DataFrame:
 def merge_external_scores(spark, sf):
     scored = _scored(spark, sf)
     keys = [*KEYS, "profile_id"]
-    short = M.semantic_shortlist(scored)
+    short = M.semantic_shortlist(scored, V.SHORTLIST_SIZE)
     external = short.select(*keys).join(_external(spark, sf), "company_id")
     merged = M.merge_external_scores(scored, short, external, keys)
     return merged.select(*keys, "score_e4", "matcher", "reasoning", "is_match")
@@ -64,7 +65,7 @@ def merge_external_scores(spark, sf):
 def enrichment_shortlist(spark, sf):
     rows = distinct_postings(spark, sf)
     scored = M.rule_score(rows, profiles(spark, sf))
-    return M.enrichment_shortlist(rows, scored, [*KEYS, "seq"]).select(*KEYS, "best_e4")
+    return M.enrichment_shortlist(rows, scored, [*KEYS, "seq"], V.ENRICH_SIZE).select(*KEYS, "best_e4")
 
 
 def _stored_matches(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlens.functions import fixed_values as V
 from postlens.operators import companies as C, postings as P
 from postlens.functions.urls import canonicalize_url
 from postlens.operators.common import first_per_key, page_of
@@ -128,7 +129,7 @@ def companies_filter(spark, sf):
 
 
 def due_for_scan(spark, sf):
-    return C.due_for_scan(_companies(spark, sf), _ts("2024-01-31 00:00:00")).select(
+    return C.due_for_scan(_companies(spark, sf), _ts("2024-01-31 00:00:00"), V.DUE_LIMIT).select(
         "company_id", "next_scan_at"
     )
 

@@ -7,18 +7,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postlens.operators.matching import prepare_profiles
 from postlens.operators.postings import normalize_postings
 from postlens.plans.views import view
-from postlens.session import prepare
+from postlens.session import INPUT_PARTS, prepare
 
 CAPTURE_DAY = "2026-07-30"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy step every core when the input has fewer files than cores.
+    """Deal an input into as many parts as the session asks for in ``INPUT_PARTS``.
 
-    A large input has many more splits than cores and passes through untouched.
+    Unset, as on a cluster, the input is read split by split without a shuffle.  A session over
+    tables of one row group sets it, since such a table can only be read by one task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    parts = df.sparkSession.conf.get(INPUT_PARTS, None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def raw_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

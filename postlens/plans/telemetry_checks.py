@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlens.functions import fixed_values as V
 from postlens.operators import common, notifications as N, selectors as L, telemetry as T
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
 from postlens.operators.prices import price_lookup
@@ -150,7 +151,7 @@ def degraded_selectors(spark, sf):
 
 
 def relearn_candidates(spark, sf):
-    return L.relearn_candidates(_selectors(spark, sf), _companies(spark, sf)).select(
+    return L.relearn_candidates(_selectors(spark, sf), _companies(spark, sf), limit=20).select(
         "website", "version", "company_id", "name"
     )
 
@@ -179,7 +180,7 @@ def notification_filter(spark, sf):
 
 
 def retryable(spark, sf):
-    return N.retryable(_notes(spark, sf)).select("notification_id", "attempts")
+    return N.retryable(_notes(spark, sf), limit=V.RETRY_LIMIT).select("notification_id", "attempts")
 
 
 def notification_log(spark, sf):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+INPUT_PARTS = "spark.postlens.inputParts"
+
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
 }
@@ -18,7 +20,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: str = "*", app: str = "postlens", **extra: str) -> SparkSession:
-    """A session for tests and the bench."""
+    """A session for tests and the bench, whose tables have one row group each."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
@@ -26,6 +28,7 @@ def local_session(cores: str = "*", app: str = "postlens", **extra: str) -> Spar
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(INPUT_PARTS, "8" if cores == "*" else cores)
         .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in extra.items():

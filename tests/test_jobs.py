@@ -60,13 +60,11 @@ def test_rule_score(spark):
     assert zero.threshold == 0.6
 
 
-def test_large_profile_list_takes_the_join(spark, monkeypatch):
-    many = spark.range(7).select(F.col("id").cast("int").alias("profile_id")).crossJoin(profile(spark).drop("profile_id"))
-    small = M.rule_score(job(spark, "Backend Engineer"), many).select("profile_id", "score_e4")
-    monkeypatch.setattr(M, "is_small", lambda df: False)
-    monkeypatch.setattr(M, "SMALL_TABLE_ROWS", 3)
-    large = M.rule_score(job(spark, "Backend Engineer"), many).select("profile_id", "score_e4")
-    assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 7
+def test_every_profile_meets_every_posting(spark):
+    many = spark.range(3000).select(F.col("id").cast("int").alias("profile_id")).crossJoin(profile(spark).drop("profile_id"))
+    jobs = job(spark, "Backend Engineer").unionByName(job(spark, "Analyst"))
+    got = M.rule_score(jobs, many).groupBy("title").agg(F.count_distinct("profile_id").alias("n"), F.count("*").alias("rows"))
+    assert {tuple(r) for r in got.collect()} == {("Backend Engineer", 3000, 3000), ("Analyst", 3000, 3000)}
 
 
 def batch(spark, titles, same_url=False):
@@ -181,6 +179,27 @@ def test_selectors(spark):
         S.select_records(page(spark, PAGE), S.SelectorSet("li::before", "a"))
 
 
+def test_hidden_elements(spark):
+    from postlens.sources.nodes import node_table
+
+    html = "<ul><li class='sr-only'>hid<li class='job'>A<b>x</b></ul><div>tail</div><table><tr><td class='sr-only'>h<td>1<td>2</table>"
+    rows = node_table(page(spark, html)).orderBy("pre").collect()
+    assert [(r.pre, r.post, r.parent, r.tag, r.text) for r in rows] == [
+        (0, 2, -1, "ul", "A x"), (1, 2, 0, "li", "A x"), (2, 2, 1, "b", "x"), (3, 3, -1, "div", "tail"),
+        (4, 7, -1, "table", "1 2"), (5, 7, 4, "tr", "1 2"), (6, 6, 5, "td", "1"), (7, 7, 5, "td", "2"),
+    ]
+    second = S.select_records(page(spark, html), S.SelectorSet("tr", "td:nth-of-type(2)")).first()
+    assert second.title == "2"
+
+
+def test_every_location_of_a_posting(spark):
+    import json
+
+    body = json.dumps({"positions": [{"name": "Eng", "positionUrl": "/x", "id": "1", "locations": list("ABCDE")}]})
+    payload = spark.createDataFrame([(1, "eightfold", 0, body, "https://h.com")], "company_id int, platform string, page_no int, body string, base_url string")
+    assert B.eightfold_postings(payload).first().location == "A; B; C; D; E"
+
+
 def test_written_order_of_alternatives(spark):
     html = '<div class="job-card"><a href="/x">See full role</a><h3><a href="/y">Engineer</a></h3></div>'
     row = S.select_records(page(spark, html), S.SelectorSet("div.job-card", "h3 a, a", "h3 a, a")).first()
