@@ -287,12 +287,6 @@ VALUE_ATTRIBUTES = ("datetime", "content", "title", "aria-label", "value")
 STATE_VARIABLES = (
     "__INITIAL_STATE__", "__NUXT__", "__PRELOADED_STATE__", "__APP_STATE__",
 )
-STATE_DEPTH = 8
-STATE_LIST_FANOUT = 50
-LIST_KEYS = (
-    "jobs", "jobPostings", "postings", "positions", "openings", "vacancies",
-    "jobPosts", "results", "items", "requisitions", "jobList", "searchResults",
-)
 TITLE_KEYS = ("title", "name", "jobTitle", "text", "positionTitle", "displayName")
 URL_KEYS = (
     "url", "absolute_url", "hostedUrl", "applyUrl", "jobUrl", "link", "externalPath",

@@ -216,6 +216,29 @@ def test_embedded_sources(spark):
     assert [(r.title, r.url, r.source) for r in rows] == [("B", "https://h.com/b", "state"), ("C", "https://h.com/c", "state")]
 
 
+def test_embedded_trees_have_no_limit(spark):
+    import json
+
+    def posting(title):
+        return {"@type": "JobPosting", "title": title, "description": f"About {title}"}
+
+    deep = posting("deep")
+    for _ in range(30):
+        deep = {"@graph": [[deep]]}
+    nested = [{"@graph": [posting("A")]}, posting("B"), deep]
+    html = f'<script type="application/ld+json">{json.dumps(nested)}</script><script type="application/ld+json">{{bad</script>'
+    assert [r.title for r in E.json_ld_postings(page(spark, html)).orderBy("pos").collect()] == ["A", "B", "deep"]
+    assert E.posting_detail(page(spark, html)).first().description == "About A"
+    assert E.json_ld_postings(page(spark, None)).count() == 0
+
+    state = {"jobs": [{"title": f"T{i}", "url": f"/{i}"} for i in range(60)]}
+    for _ in range(20):
+        state = {"a": [state], "other": [{"title": "x", "url": "/x"}]}
+    html = f'<script id="__NEXT_DATA__">{json.dumps(state)}</script>'
+    rows = E.state_postings(page(spark, html)).orderBy("pos").collect()
+    assert [r.title for r in rows] == [f"T{i}" for i in range(60)]
+
+
 def test_inline_state_object(column):
     html = 'x; phApp.ddo = {"a": "}", "b": {"c": "\\"}"}}; more = {};'
     assert column([html, "none"], E.inline_state_object) == ['{"a": "}", "b": {"c": "\\"}"}}', None]
