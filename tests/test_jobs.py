@@ -281,3 +281,20 @@ def test_no_cut_hides_rows(spark):
     assert got == {1: ["VLSN", "S"], 2: ["S"]}
     raw = spark.createDataFrame([("t", "u", "p", {"text": "x" * 50_000})], "title string, url string, posted_at string, raw map<string,string>")
     assert len(B.raw_payload_trim(raw).collect()[0].raw["text"]) == 50_000
+
+
+def test_unknown_platforms_are_read_as_pages(spark):
+    from postlens.sources import boards
+
+    page = "<ul><li class='job-row'><a href='/j/1'>Data Engineer</a><span class='location'>Oslo</span></li></ul>"
+    lever = '[{"id": "7", "text": "Analyst", "hostedUrl": "https://x.com/7"}]'
+    rows = [(1, 0, "homegrown", page), (2, 0, None, page), (3, 0, "lever", lever)]
+    payloads = spark.createDataFrame(rows, "company_id bigint, page_no int, platform string, body string").selectExpr(
+        "*", "'https://a.com/list' AS base_url", "'t' AS token", "TIMESTAMP '2024-01-01 00:00:00' AS fetched_at"
+    )
+    got = {(r.company_id, r.title, r.url, r.location, r.tier) for r in boards.board_postings(payloads).collect()}
+    assert got == {
+        (1, "Data Engineer", "https://a.com/j/1", "Oslo", "css_selector"),
+        (2, "Data Engineer", "https://a.com/j/1", "Oslo", "css_selector"),
+        (3, "Analyst", "https://x.com/7", "", "api"),
+    }
