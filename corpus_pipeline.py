@@ -20,8 +20,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 400 bytes and more that stand elsewhere too."""
-    return suffixes.without_duplicates(docs)
+    """Removes passages of over 50 words, and those of 400 bytes and more, that stand elsewhere too."""
+    return suffixes.without_duplicates(docs, words=51)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,16 +129,21 @@ def utf8(column) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast("binary").to_pylist()]
 
 
+def word_bounds(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte after its last; ASCII white space splits."""
+    inside = np.zeros(len(b) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[b]
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (ASCII white space splits, A-Z folded) and the number of words per text."""
     data = b"\n".join(texts).lower()
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, _U), np.zeros(len(texts), np.int64)
-    inside = np.zeros(len(b) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[b]
-    edges = np.diff(inside)
-    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    start, end = word_bounds(b)
     hashes = span_hash(running_hash(b), start, end)
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(start, bounds)

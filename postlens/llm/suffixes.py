@@ -18,6 +18,10 @@ induced sorting, are spread over Spark's shuffles, which spill to disk and are r
 
 Tuples wait in written tables and shuffle files between the steps; a task keeps about ``SHARD_BYTES``.
 
+Passages may also be measured in words (``repeated_words``): sampling and naming are the same over the
+words of a text, and the windows of the tuples they leave open are named and counted one by one.  Words
+are what ASCII white space splits, compared byte by byte; the white space between them is not compared.
+
 Null is an empty text.  Texts shorter than ``SPAN`` have nothing removed, a text that repeats (also as
 the same row twice) is removed whole, overlaps count, strings never cross texts and are judged on the
 input.  A null id is a value like any other.  An empty table gives an empty result; extra columns, also
@@ -34,11 +38,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from postlens.llm.common import (
-    has_bit, key_bits, mix, partitions, powers, running_hash, small_batches, span_hash, utf8, written,
+    has_bit, key_bits, mix, partitions, powers, running_hash, small_batches, span_hash, utf8, word_bounds, written,
 )
 
 SPAN = 400
 GRAM = 32
+GRAM_WORDS = 8
 GROUP = 256
 SHARD_BYTES = 12 << 20
 ZONES = (96, 16, 4, 1)
@@ -58,10 +63,14 @@ def row_key(doc_id: int | None, text: bytes) -> int:
 def anchors(b: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     """(position, first window, last window, running hash, gram hashes) of a text of at least ``span`` bytes."""
     running = running_hash(b)
-    at = np.arange(len(b) - GRAM + 1)
     _, down = powers(len(running))
-    gram = mix((running[GRAM:] - running[:-GRAM]) * down[: len(at)])
-    width, n = span - GRAM + 1, len(gram)
+    gram = mix((running[GRAM:] - running[:-GRAM]) * down[: len(b) - GRAM + 1])
+    return *smallest(gram, span - GRAM + 1), running, gram
+
+
+def smallest(gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, last window) of the grams that are the smallest of a window of ``width`` grams."""
+    n, at = len(gram), np.arange(len(gram))
     # the smallest of each window, by block-wise minima from both sides; on ties the last
     packed = (gram & ~_U((1 << 28) - 1)) | (_U((1 << 28) - 1) - at.astype(_U))
     full = -(-n // width) * width
@@ -74,7 +83,7 @@ def anchors(b: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
     chosen = ((1 << 28) - 1 - (best & _U((1 << 28) - 1)).astype(np.int64))
     first = np.flatnonzero(np.diff(chosen, prepend=-1))
     last = np.append(first[1:], len(chosen)) - 1
-    return chosen[first], first, last, running, gram
+    return chosen[first], first, last
 
 
 def suffix_tuples(docs: DataFrame, span: int) -> DataFrame:
@@ -338,6 +347,95 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return settled.union(solved).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("parts")).alias("items"))
 
 
+def word_line(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, running hash over the words) of a text."""
+    b = np.frombuffer(text, np.uint8)
+    start, end = word_bounds(b)
+    hashes = span_hash(running_hash(b), start, end)
+    up, _ = powers(len(hashes) + 1)
+    running = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * up[: len(hashes)], out=running[1:])
+    return start, end, running
+
+
+WORD_TUPLES = "doc_id long, key long, first int, last int, start int, end int, gram long, name long"
+
+
+def word_tuples(docs: DataFrame, words: int) -> DataFrame:
+    """Schema ``WORD_TUPLES``: per anchor its windows (``first`` to ``last``, by their first word) and their bytes."""
+    names = [x.split(" ")[0] for x in WORD_TUPLES.split(", ")]
+
+    def batch_of(parts):
+        lengths = [len(p[2]) for p in parts]
+        ids = pa.array([p[0] for p in parts], pa.int64()).take(pa.array(np.repeat(np.arange(len(parts)), lengths)))
+        columns = [np.concatenate([p[k] for p in parts]) for k in range(2, 8)]
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(np.repeat([p[1] for p in parts], lengths), pa.int64()),
+            *(pa.array(c.astype(np.int32)) for c in columns[:4]), *(pa.array(c.view(np.int64)) for c in columns[4:]),
+        ], names)
+
+    def run(batches):
+        for batch in batches:
+            parts: list[tuple] = []
+            size = 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch.column("text"))):
+                start, end, running = word_line(text)
+                if len(start) < words:
+                    continue
+                at = np.arange(len(start) - GRAM_WORDS + 1)
+                gram = span_hash(running, at, at + GRAM_WORDS)
+                pos, first, last = smallest(gram, words - GRAM_WORDS + 1)
+                name = mix(span_hash(running, first, last + words) + (pos - first).astype(_U))
+                parts.append((doc_id, row_key(doc_id, text), first, last, start[first], end[last + words - 1], gram[pos], name))
+                size += len(pos)
+                if size > 50_000:
+                    yield batch_of(parts)
+                    parts, size = [], 0
+            if parts:
+                yield batch_of(parts)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, WORD_TUPLES)
+
+
+def word_windows(docs: DataFrame, tuples: DataFrame, bits, words: int) -> DataFrame:
+    """(doc_id, key, start, end, name): the windows of some tuples, one by one."""
+    lists = tuples.groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for doc_id, text, items in zip(ids, batch.column("text").to_pylist(), batch.column("items").to_pylist()):
+                start, end, running = word_line(text)
+                at = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in items])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([doc_id] * len(at), pa.int64()), pa.array([row_key(doc_id, text)] * len(at), pa.int64()),
+                    pa.array(start[at].astype(np.int32)), pa.array(end[at + words - 1].astype(np.int32)),
+                    pa.array(span_hash(running, at, at + words).view(np.int64)),
+                ], ["doc_id", "key", "start", "end", "name"])
+
+    return with_texts(docs, lists, bits).mapInArrow(run, "doc_id long, key long, start int, end int, name long")
+
+
+def repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, key, items): per row the byte ranges of the runs of ``words`` words that stand twice."""
+    spark = small_batches(docs).sparkSession
+    every = written(word_tuples(docs, words), "word-tuples")
+    again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "word-grams")
+    some = written(every.join(again, "gram", "left_semi"), "word-candidates")
+    names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n")), "word-names")
+    kinds = written(names.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "word-kinds")
+    # of a name that occurs twice one tuple goes on, as a partner for the others
+    open_ = written(some.join(kinds, "gram", "left_semi").dropDuplicates(["gram", "name"]), "word-open")
+    bits = spark.sparkContext.broadcast(key_bits(open_.select("key").distinct(), "key"))
+    windows = written(word_windows(docs, open_, bits, words), "word-windows")
+    twice = written(windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "word-twice")
+    settled = some.join(names.where("n > 1").select("gram", "name"), ["gram", "name"], "left_semi")
+    found = settled.select("doc_id", "key", "start", "end").union(
+        windows.join(twice, "name", "left_semi").select("doc_id", "key", "start", "end")
+    )
+    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("items"))
+
+
 def merged(items) -> list[tuple[int, int]]:
     """Maximal runs of sorted, possibly overlapping or touching ranges."""
     out: list[list[int]] = []
@@ -385,12 +483,18 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return cut.mapInArrow(_digest, DIGESTS).union(rest.mapInArrow(_digest, DIGESTS))
 
 
-def without_duplicates(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def without_duplicates(docs: DataFrame, span: int = SPAN, words: int | None = None) -> DataFrame:
     """All rows with the removed bytes gone; a letter that loses some of its bytes goes whole.
 
+    With ``words``, runs of so many words that stand twice go too, however few bytes they have.
     Other columns stay; ``n_chars`` follows the text.  A null text stays null.
     """
-    spans = written(duplicate_spans(docs, span), "spans")
+    spans = duplicate_spans(docs, span)
+    if words is not None:
+        spans = spans.union(repeated_words(docs, words)).groupBy("doc_id", "key").agg(
+            F.flatten(F.collect_list("items")).alias("items")
+        )
+    spans = written(spans, "spans")
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(spans.select("key"), "key"))
     names, schema = docs.columns, docs.schema
 

@@ -2,8 +2,11 @@
 
 import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -118,6 +121,38 @@ def test_suffix_dedup(spark, texts, group, monkeypatch):
         assert suffixes.digests(docs(spark, [])).count() == 0
 
 
+def brute_word_bytes(rows, words):
+    """Bytes of each text outside the runs of ``words`` words that start twice."""
+    lines = [(i, [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^ \t-\r]+", t.encode())], t.encode()) for i, t in rows]
+    window = lambda line, k: tuple(w for _, _, w in line[k : k + words])
+    starts = Counter(window(line, k) for _, line, _ in lines for k in range(len(line) - words + 1))
+    out = {}
+    for i, line, text in lines:
+        left = bytearray(b"\1" * len(text))
+        for k in range(len(line) - words + 1):
+            if starts[window(line, k)] > 1:
+                a, b = line[k][0], line[k + words - 1][1]
+                left[a:b] = bytes(b - a)
+        out[i] = bytes(c for c, keep in zip(text, left) if keep).decode()
+    return out
+
+
+def test_stage_removes_passages_of_over_50_words(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 7))) for _ in range(n))
+    passage, shorter, stem, broken = words(51), words(50), words(70), words(60)
+    assert len(passage.encode()) < suffixes.SPAN
+    plain = [f"{words(20)} {p} {words(20)}" for p in (passage, passage.replace(" ", "\n"), shorter, shorter, words(90))]
+    # the same words with other neighbours on either side, so that tuples overlap in part
+    cut = [f"{words(5)} {' '.join(stem.split()[k : k + 54])} {words(5)}" for k in range(12)]
+    rows = list(enumerate([*plain, *cut, f"{broken} {broken}", passage + " end", "x " * 150, ""], 1))
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs(spark, rows), "").collect()}
+    want = brute_word_bytes(rows, 51)
+    assert got == want
+    assert passage not in got[1] and shorter in got[3] and got[5] == plain[4] and len(got) == len(rows)
+    assert suffixes.repeated_words(docs(spark, [(None, passage), (None, None), (1, passage)]), 51).count() == 2
+
+
 def test_masks_cover_the_window():
     span, stride = decontaminate.WINDOW, decontaminate.STRIDE
     for bad in itertools.combinations(range(span), decontaminate.SUBSTITUTIONS):
