@@ -6,7 +6,9 @@ pages.  Trust follows links (personalised PageRank from the trusted hosts), dist
 (from the blocked hosts: who links to a blocked host is suspect).  A page without a rule is blocked when
 its host's distrust is at least ``BLOCK_SHARE`` of what it has of both, and allowed otherwise.
 
-All of it is DataFrame work; mass is counted in whole 10^-12 parts, so results do not depend on order.
+All of it is DataFrame work.  Mass is a double, so none is lost however small a share gets; a walk goes on
+until no host gains more than ``BOUND`` of what it has.  The share of distrust is compared when rounded to
+nine digits, so the order of sums does not show in the verdict.
 A null URL or one without ``://`` has an empty host and path and no rule; a null html has no links;
 links to the own host (relative ones too) don't count.  Repeated rows are pages of their own, ties of
 equally long rules go to block, an empty table gives an empty result, extra columns are ignored.
@@ -20,9 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.llm.common import written
 
-MASS = 10**12
-KEEP = 85              # hundredths of the mass that go on over links
+MASS = 10**12          # whole parts and rounds of the SQL check
 ROUNDS = 10
+KEEP = 85              # hundredths of the mass that go on over links
+BOUND = 1e-6
 BLOCK_SHARE = 500      # thousandths
 ALLOW, BLOCK = "allow", "block"
 
@@ -74,32 +77,33 @@ def host_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass): personalised PageRank of ``seeds`` (host, seed) over ``links`` (host, to, n)."""
+def propagate(links: DataFrame, seeds: DataFrame, bound: float = BOUND) -> DataFrame:
+    """(host, mass): personalised PageRank of ``seeds`` (host, seed) over ``links`` (host, to, n).
+
+    In each round a part of the flow stays where it is and the rest follows the links, in proportion to
+    their number; the flow that is left shrinks by ``KEEP`` each round, so the rounds end.
+    """
     out = links.groupBy("host").agg(F.sum("n").alias("all"))
-    share = written(
-        links.join(out, "host").select("host", "to", F.expr("n * 1000000 div all").alias("part")), "links"
-    )
-    base = seeds.select("host", F.expr(f"seed * {100 - KEEP} div 100").alias("mass"))
+    share = written(links.join(out, "host").select("host", "to", (F.col("n") / F.col("all")).alias("part")), "links")
+    stays = 1 - KEEP / 100
+    state = seeds.select("host", (F.col("seed") * stays).alias("mass"), F.col("seed").alias("flow"))
     if share.isEmpty():     # nothing moves: what stays at the seeds is the fixed point
-        return base
-    mass = seeds.select("host", F.col("seed").alias("mass"))
-    for k in range(rounds):
-        sent = mass.join(share, "host").groupBy(F.col("to").alias("host")).agg(
-            F.sum(F.expr("mass * part div 1000000")).alias("mass")
+        return state.select("host", "mass")
+    while not state.where(F.col("flow") * stays > bound * F.col("mass")).isEmpty():
+        sent = state.where("flow > 0").join(share, "host").groupBy(F.col("to").alias("host")).agg(
+            (F.sum(F.col("flow") * F.col("part")) * (KEEP / 100)).alias("flow")
         )
-        sent = sent.select("host", F.expr(f"mass * {KEEP} div 100").alias("mass"))
-        mass = base.union(sent).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if k % 3 == 2 or k == rounds - 1:
-            mass = written(mass, "mass")
-    return mass
+        before = state.select("host", "mass", F.lit(0.0).alias("flow"))
+        after = before.union(sent.select("host", (F.col("flow") * stays).alias("mass"), "flow"))
+        state = written(after.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("flow").alias("flow")), "mass")
+    return state.select("host", "mass")
 
 
 def seeded(pages: DataFrame, action: str) -> DataFrame:
-    """(host, seed): the share of a host in the pages with this action, of ``MASS``."""
+    """(host, seed): the share of a host in the pages with this action."""
     counts = pages.where((F.col("action") == action) & (F.col("host") != "")).groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("host", F.expr(f"n * ({MASS} div total)").alias("seed"))
+    return counts.crossJoin(F.broadcast(total)).select("host", (F.col("n") / F.col("total")).alias("seed"))
 
 
 def host_masses(pages: DataFrame) -> DataFrame:
@@ -109,15 +113,14 @@ def host_masses(pages: DataFrame) -> DataFrame:
     trust = propagate(links, trust).withColumnRenamed("mass", "trust")
     back = links.select(F.col("to").alias("host"), F.col("host").alias("to"), "n")
     distrust = propagate(back, distrust).withColumnRenamed("mass", "distrust")
-    return trust.join(distrust, "host", "full").na.fill(0, ["trust", "distrust"])
+    return trust.join(distrust, "host", "full").na.fill(0.0, ["trust", "distrust"])
 
 
 def judge(pages: DataFrame, rules=None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page."""
     known = ruled(located(pages.select("page_id", "url", "html")), rules)
-    blocked = (F.col("distrust") > 0) & (
-        F.col("distrust") * 1000 >= BLOCK_SHARE * (F.col("trust") + F.col("distrust"))
-    )
+    share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
+    blocked = (F.col("distrust") > 0) & (share >= BLOCK_SHARE / 1000)
     hosts = host_masses(known).select("host", F.when(blocked, BLOCK).otherwise(ALLOW).alias("by_host"))
     return known.drop("html", "url").join(hosts, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("action", "by_host", F.lit(ALLOW)).alias("verdict")

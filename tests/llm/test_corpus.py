@@ -247,6 +247,29 @@ def test_url_filter(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_distrust_reaches_all_linkers_of_a_small_hub(spark):
+    blocked = spark.createDataFrame([("hub", 1), ("else", 25_000_000 - 1)], "host string, n long")
+    seeds = blocked.select("host", (F.col("n") / 25_000_000).alias("seed"))
+    links = spark.range(50_000).select(F.lit("hub").alias("host"), F.format_string("h%d", "id").alias("to"), F.lit(1).cast("long").alias("n"))
+    chain = spark.range(30).select(F.format_string("c%d", "id").alias("host"), F.format_string("c%d", F.col("id") + 1).alias("to"), F.lit(1).cast("long").alias("n"))
+    onto = spark.createDataFrame([("h7", "c0", 1), ("a", "b", 1), ("b", "a", 1)], links.schema)
+    mass = {r.host: r.mass for r in urls.propagate(links.union(chain).union(onto), seeds).collect()}
+    assert mass["h1"] == pytest.approx(0.15 * 0.85 / 50_000 / 25_000_000)
+    assert len(mass) == 50_000 + 2 + 31 and mass["c30"] == pytest.approx(mass["h1"] * 0.85**31)
+    # a cycle: the fixed point of a = 0.15 + 0.85 b, b = 0.85 a
+    ring = urls.propagate(onto, spark.createDataFrame([("a", 1.0)], "host string, seed double"))
+    assert {r.host: round(r.mass, 4) for r in ring.collect()} == {"a": round(0.15 / (1 - 0.85**2), 4), "b": round(0.85 * 0.15 / (1 - 0.85**2), 4)}
+
+
+def test_pages_that_link_a_blocked_hub_are_blocked(spark):
+    link = '<a href="//{0}/">x</a>'.format
+    rows = [(0, "http://hub.com/de/1", None), *((k, f"http://other{k % 40}.com/de/1", None) for k in range(1, 400))]
+    rows += [(1000 + k, f"http://h{k}.net/", link("hub.com")) for k in range(2000)]
+    rows += [(5000 + k, f"http://c{k}.net/", link(f"c{k - 1}.net" if k else "h5.net")) for k in range(14)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.verdict for r in urls.judge(pages).where("page_id >= 1000").collect()} == {"block"}
+
+
 def sample(n):
     rng = random.Random(6)
     nice = ["gentle", "river", "window", "garden", "paper", "music", "travel", "summer"]
