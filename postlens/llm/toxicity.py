@@ -1,10 +1,15 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, through block-max lists.
 
 Terms are word stems (the first four bytes of longer words).  Document frequencies are counted over
-all documents.  The examples are a bounded sample of labelled rows (``EXAMPLES`` per class); their
-inverted index keeps, for every term and block of examples, the postings and the largest weight.  For
-a text the sum of those maxima bounds every example of a block, so a block is only scored while its
-bound can still beat the k-th best similarity found: the neighbours are those of a full scan.
+all documents.  The examples are a bounded sample of labelled rows (``EXAMPLES`` per class) and every
+term of at least ``FEWEST`` of them is indexed but those in over ``COMMONEST`` of all documents.  A weight is (1 + log count) *
+log((1 + documents) / (1 + df)) ** ``POWER``, so rare terms count for more than in plain TF-IDF.
+
+For terms that stand in ``DENSE`` of the examples the inverted index keeps, for every term and block of
+examples, the postings and the largest weight.  The few postings of all other terms are added up for a
+text at once, which gives their part of its similarity to each example.  Both bound every example of a
+block, so a block is only scored while its bound can still beat the k-th best similarity found: the
+neighbours are those of a full scan.
 
 The vote is the share of toxic neighbours weighted by squared similarity; a logistic curve fitted on
 other labelled rows makes it a probability.  ``evidence`` lists the nearest example ids.
@@ -30,8 +35,9 @@ EXAMPLES = 3000       # examples per class in the index
 CALIBRATION = 1000    # further labelled rows per class for the logistic curve
 BLOCK = 64
 NEIGHBOURS = 25
-FEWEST = 0.02         # a term stands in at least this share of the examples
-COMMONEST = 0.2       # and in at most this share of all documents
+FEWEST = 2            # a term stands in at least so many examples, whatever their number
+DENSE = 0.02          # terms in at least this share of the examples have block maxima, others plain postings
+COMMONEST = 0.2       # a term stands in at most this share of all documents
 POWER = 2.5           # of the inverse document frequency
 HELD_OUT = (5, 0)
 THRESHOLD = 0.5
@@ -45,37 +51,59 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray          # example ids
     toxic: np.ndarray
-    most: np.ndarray         # terms x blocks: largest weight of a term in a block
-    post_term: list          # per block: term of each posting, sorted
+    column: np.ndarray       # of each term: its row in ``most``, -1 if it is rare
+    most: np.ndarray         # frequent terms x blocks: largest weight of a term in a block
+    post_term: list          # per block: frequent term of each posting, sorted
     post_example: list
     post_weight: list
     share: float
+    rare_start: np.ndarray = None       # terms + 1: where the postings of each rare term begin
+    rare_example: np.ndarray = None
+    rare_weight: np.ndarray = None
     slope: float = 1.0
     shift: float = 0.0
 
-    def queries(self, doc, stem, count, n):
-        """Unit TF-IDF rows over the known terms as (rows x terms)."""
+    def weights(self, doc, stem, count, n):
+        """(row, term, weight) of unit TF-IDF rows over the known terms."""
         at = np.searchsorted(self.terms, stem)
         at[at == len(self.terms)] = 0
         keep = self.terms[at] == stem if len(self.terms) else np.zeros(len(stem), bool)
         doc, at, count = doc[keep], at[keep], count[keep]
         weight = (1 + np.log(count)) * self.idf[at]
         norm = np.sqrt(np.bincount(doc, weight * weight, n))
-        out = np.zeros((n, len(self.terms)), np.float32)
-        out[doc, at] = weight / np.maximum(norm, 1e-12)[doc]
+        return doc, at, weight / np.maximum(norm, 1e-12)[doc]
+
+    def queries(self, doc, stem, count, n):
+        """Per text its weights of the frequent terms, then its similarity to each example over the rare ones."""
+        doc, at, weight = self.weights(doc, stem, count, n)
+        width = len(self.most)
+        out = np.zeros((n, width + len(self.ids)), np.float32)
+        column = self.column[at]
+        often = column >= 0
+        out[doc[often], column[often]] = weight[often]
+        doc, at, weight = doc[~often], at[~often], weight[~often]
+        lengths = self.rare_start[at + 1] - self.rare_start[at]
+        if lengths.sum():
+            one = np.repeat(np.arange(len(at)), lengths)
+            post = np.arange(len(one)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + self.rare_start[at][one]
+            spot = doc[one] * len(self.ids) + self.rare_example[post]
+            total = np.bincount(spot, weight[one] * self.rare_weight[post], n * len(self.ids))
+            out[:, width:] = total.reshape(n, -1)
         return out
 
     def block(self, k, q):
-        """Similarities of some queries to the examples of block k, over its postings only."""
+        """Similarities of some queries to the examples of block k, over its postings and the rare terms."""
         terms, where = np.unique(self.post_term[k], return_inverse=True)
         lists = np.zeros((len(terms), min(BLOCK, len(self.ids) - k * BLOCK)), np.float32)
         lists[where, self.post_example[k]] = self.post_weight[k]
-        return q[:, terms] @ lists
+        first = len(self.most) + k * BLOCK
+        return q[:, terms] @ lists + q[:, first : first + lists.shape[1]]
 
     def neighbours(self, q):
         """(similarity, example), the NEIGHBOURS best of each query; -1 beyond the last."""
         n, blocks = len(q), self.most.shape[1]
-        bound = q @ self.most
+        width = len(self.most)
+        bound = q[:, :width] @ self.most + np.maximum.reduceat(q[:, width:], np.arange(0, len(self.ids), BLOCK), axis=1)
         best = np.full((n, NEIGHBOURS), -1, np.float32)
         whose = np.full((n, NEIGHBOURS), len(self.ids), np.int64)
         turn = np.argsort(-bound, axis=1, kind="stable")
@@ -121,12 +149,17 @@ def build(ids, toxic, doc, stem, count, frequency: dict[int, int], n_docs: int,
     """The index of the sampled examples; like examples stand near each other."""
     terms, found = np.unique(stem, return_counts=True)
     df = np.array([frequency.get(int(t), 1) for t in terms])
-    keep = (found >= max(2, FEWEST * len(ids))) & (df <= COMMONEST * max(n_docs, 1))
-    terms, df = terms[keep], df[keep]
+    keep = (found >= FEWEST) & (df <= COMMONEST * max(n_docs, 1))
+    terms, df, found = terms[keep], df[keep], found[keep]
     idf = np.log((1 + n_docs) / (1 + df)) ** POWER
-    index = Index(terms, idf, ids, toxic, np.zeros((len(terms), 1), np.float32), [], [], [], share)
-    q = index.queries(doc, stem, count, len(ids))
-    heavy = np.where(q.max(1) > 0, q.argmax(1), -1) if len(terms) else np.zeros(len(ids), int)
+    often = found >= DENSE * len(ids)
+    column = np.where(often, np.cumsum(often) - 1, -1)
+    index = Index(terms, idf, ids, toxic, column, np.zeros((int(often.sum()), 1), np.float32), [], [], [], share)
+    doc, at, weight = index.weights(doc, stem, count, len(ids))
+    q = np.zeros((len(ids), int(often.sum())), np.float32)
+    common = column[at] >= 0
+    q[doc[common], column[at[common]]] = weight[common]
+    heavy = np.where(q.max(1) > 0, q.argmax(1), -1) if q.shape[1] else np.zeros(len(ids), int)
     order = np.lexsort((ids, mix(heavy.astype(np.uint64)), toxic))
     q, index.ids, index.toxic = q[order], ids[order], toxic[order]
     blocks = range(0, len(ids), BLOCK)
@@ -137,6 +170,11 @@ def build(ids, toxic, doc, stem, count, frequency: dict[int, int], n_docs: int,
         index.post_term.append(term[by])
         index.post_example.append(example[by])
         index.post_weight.append(q[k : k + BLOCK][example[by], term[by]])
+    place = np.argsort(order)
+    doc, at, weight = place[doc[~common]], at[~common], weight[~common]
+    by = np.lexsort((doc, at))
+    index.rare_start = np.searchsorted(at[by], np.arange(len(terms) + 1))
+    index.rare_example, index.rare_weight = doc[by], weight[by].astype(np.float32)
     return index
 
 

@@ -313,3 +313,40 @@ def test_neighbours_are_those_of_a_full_scan():
     every = np.concatenate([index.block(k, q) for k in range(index.most.shape[1])], 1)
     best, _ = index.neighbours(q)
     assert np.allclose(best, -np.sort(-every, axis=1)[:, : toxicity.NEIGHBOURS], atol=1e-4)
+
+
+def test_rare_terms_are_indexed():
+    rng = np.random.default_rng(5)
+    n = 600
+    # ordinary words in every example, an own insult in each pair of toxic ones
+    rows = [(i, int(t), 1) for i in range(n) for t in rng.choice(60, 8, False)]
+    rows += [(i, 1000 + i // 4, 1) for i in range(n) if i % 2]
+    doc, stem, count = (np.array(x) for x in zip(*rows))
+    index = toxicity.build(np.arange(n), np.arange(n) % 2, doc, stem, count, {}, 10_000, 0.5)
+    q = index.queries(doc, stem, count, n)[::7]
+    dense = np.zeros((n, len(index.terms)))
+    d, at, weight = index.weights(doc, stem, count, n)
+    dense[d, at] = weight
+    every = dense[::7] @ dense[index.ids].T
+    best, whose = index.neighbours(q)
+    assert np.allclose(best, -np.sort(-every, axis=1)[:, : toxicity.NEIGHBOURS], atol=1e-4)
+    insults = np.arange(1000, 1000 + n // 4)
+    one = np.ones(len(insults), int)
+    best, whose = index.neighbours(index.queries(np.arange(len(insults)), insults, one, len(insults)))
+    assert (index.vote(best, whose) == 1).all()
+    assert {tuple(sorted(index.ids[w[w >= 0]])) for w in whose} == {(k + 1, k + 3) for k in range(0, n, 4)}
+
+
+def test_varied_insults_are_toxic(spark):
+    rng = random.Random(3)
+    nice = ["gentle", "river", "window", "garden", "paper", "music", "travel", "summer"]
+    rude = [f"{a}{b}{c}q" for a, b, c in itertools.product("bdgkz", "aeiou", "bdgkz")]
+    rows, labels = [], []
+    for i in range(1200):
+        words = [rng.choice(nice) for _ in range(20)] + rng.sample(rude, 3) * (i % 4 == 0)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+    held = [r for r in toxicity.toxicity(docs(spark, rows), given).collect() if r.held_out]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
