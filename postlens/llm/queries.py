@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from postlens.llm import (
-    bpe, decontaminate, jaccard, quality, shards, suffixes, topk, toxicity, urls, warc,
+    bpe, decontaminate, jaccard, personal, quality, search, shards, spelling, suffixes, topk, toxicity, urls, warc,
 )
 from postlens.llm.common import table
 
@@ -53,9 +53,21 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op12_pii(spark, sf_dir):
+    return personal.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_exact_topk, op3_decontamination, op4_bpe, op5_warc, op6_url_filter, op7_sharding,
-    op8_ngram_jaccard, op9_quality, op10_suffix_dedup,
+    op8_ngram_jaccard, op9_quality, op10_suffix_dedup, op11_lexical_search, op12_pii, op13_spelling,
 )}
 
 TOP_K = """
@@ -107,6 +119,9 @@ SQL = {
     "op6_url_filter": urls.SQL,
     "op8_ngram_jaccard": jaccard.sql(3, 90, 100),
     "op10_suffix_dedup": SPANS,
+    "op11_lexical_search": search.SQL,
+    "op12_pii": personal.SQL,
+    "op13_spelling": spelling.SQL,
 }
 
 __all__ = ["QUERIES", "SQL"]
