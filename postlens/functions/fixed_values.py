@@ -338,3 +338,65 @@ DEFAULT_PRICE_IN = 3.00
 DEFAULT_PRICE_OUT = 15.00
 DURATION_BUCKETS = (0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 45.0, 90.0, 180.0)
 TIER_ORDER = ("api", "embedded_json", "css_selector", "xpath", "llm")
+
+# --- fixed values: selector sets per platform, in the order they are tried ----
+
+def _set(container, title, url=None, **fields):
+    return {"container": container, "title": title, "url": url, **fields}
+
+
+BUILTIN_SELECTORS = {
+    "generic_html": [
+        _set("li[class*='job'], li[class*='position'], li[class*='vacancy']", "a, h2, h3", "a",
+                    location="[class*='location']", posted_at="time, [class*='date']"),
+        _set("div[class*='job-list-item'], div[class*='job-card'], div[class*='job-result'], "
+                    "div[class*='job-tile'], article[class*='job'], div[class*='opening-item']",
+                    "h2 a, h3 a, h4 a, a[class*='title'], h2, h3, a", "h2 a, h3 a, h4 a, a",
+                    location="[class*='location-sub'], [class*='location'], [class*='city']",
+                    posted_at="[class*='posted'], [class*='date'], time",
+                    department="[class*='team'], [class*='department'], [class*='category']"),
+        _set("tr[class*='job'], tbody tr:has(a[href*='job'])", "td:first-child a, a", "a",
+                    location="td:nth-of-type(2)", posted_at="td:nth-of-type(3)"),
+        _set("a[href*='/job/'], a[href*='/jobs/'], a[href*='/careers/'], a[href*='/position'], "
+                    "a[href*='/vacancy'], a[href*='/details/'], a[href*='/opening']", "self", "self"),
+    ],
+    "custom_react": [
+        _set("[data-testid*='job'], [data-test*='job'], [class*='job-card']",
+                    "[class*='title'], h2, h3, a", "a", location="[class*='location']",
+                    posted_at="time, [class*='date']"),
+        _set("li[class*='opening'], div[class*='opening'], article[class*='job']", "h2, h3, a", "a",
+                    location="[class*='location'], [class*='office']", posted_at="time"),
+    ],
+    "successfactors": [
+        _set("li.jobTitle, div.jobTitle", "a.jobTitle-link, a", "a.jobTitle-link, a",
+                    location="span.jobLocation, .jobFacility", posted_at="span.jobDate, .jobDate"),
+        _set("tr.data-row", "a.jobTitle-link, td.colTitle a, a", "a.jobTitle-link, td.colTitle a, a",
+                    location="span.jobLocation, td.colLocation", posted_at="span.jobDate, td.colDate"),
+        _set("div.searchResultItem, li.job-tile", "a[href*='/job/'], h3 a, a", "a[href*='/job/'], h3 a, a",
+                    location=".jobLocation, .job-location", posted_at=".jobDate, .job-date"),
+    ],
+    "taleo": [
+        _set("tr.oracletaleocwsv2-accordion-head, #jobList tbody tr",
+                    "a.oracletaleocwsv2-head-link, td:nth-of-type(1) a, a",
+                    "a.oracletaleocwsv2-head-link, td:nth-of-type(1) a, a",
+                    location="td.oracletaleocwsv2-accordion-head-info span, td:nth-of-type(2)",
+                    posted_at="td:nth-of-type(3)"),
+        _set("li.jobResultItem, div.job-tile", "a.jobtitle, h3 a, a", "a.jobtitle, h3 a, a",
+                    location=".joblocation, .job-location", posted_at=".jobdate, .job-date"),
+    ],
+    "apple": [
+        _set("div[class*='job-list-item']", "h3 a, a[class*='link-inline']", "h3 a, a[class*='link-inline']",
+                    location="[class*='location-sub'], [class*='job-title-location']",
+                    posted_at="[class*='job-posted-date']", department="[class*='team-name']"),
+    ],
+}
+
+# --- fixed values: what is no part of a listing ---------------------------------
+
+DROPPED_TAGS = (
+    "script", "style", "noscript", "svg", "path", "iframe", "canvas",
+    "picture", "source", "video", "audio", "link", "meta", "template",
+)
+DROPPED_ROLES = ("banner", "contentinfo", "navigation", "search", "complementary")
+LANDMARKS = ("nav", "footer", "header")     # dropped unless they hold posting links
+HINT_ATTRIBUTES = ("data-testid", "data-test", "aria-label")

@@ -88,11 +88,14 @@ def join_url(base: Column, href: Column) -> Column:
     )
 
 
+NOT_FOLLOWED = r"^(?:#|javascript:|mailto:|tel:)"
+
+
 def absolutize(href: Column, base: Column) -> Column:
     """A followable link, or null for blanks, anchors and non-web schemes."""
     link = F.btrim(href, F.lit(" \t\r\n\x0b\x0c"))
     return F.when(
-        (link != "") & ~link.rlike(r"^(?:#|javascript:|mailto:|tel:)"), join_url(base, link)
+        (link != "") & ~link.rlike(NOT_FOLLOWED), join_url(base, link)
     )
 
 

@@ -45,6 +45,23 @@ def top_per_key(
     return kept if rank else kept.drop(name)
 
 
+def join_hot(rows: DataFrame, one: DataFrame, key: str, share: int = 100) -> DataFrame:
+    """Inner equi join of many ``rows`` with ``one`` row per ``key``, whatever a key's share of the rows.
+
+    A key with more than 1/``share`` of all rows is met by broadcast, of which there are fewer than ``share``
+    by that very bound; the other keys by an ordinary join, in which none is hot.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNotNull())
+    total = counts.agg(F.sum("n")).scalar()
+    hot = [r[0] for r in counts.where(F.col("n") * share > total).select(key).limit(share).collect()]
+    if not hot:
+        return rows.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    return rows.where(~is_hot).join(one.where(~is_hot), key).unionByName(
+        rows.where(is_hot).join(F.broadcast(one.where(is_hot)), key)
+    )
+
+
 def page_of(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """One page plus the unpaginated ``total`` of the same frame.
 

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections import Counter
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import fixed_values as V
 from postlens.functions.plausibility import looks_like_spa
 from postlens.functions.text import bind, contains_any
 from postlens.functions.urls import board_token, path, query
-from postlens.sources.nodes import inside, with_nodes
+from postlens.sources.nodes import map_pages
+from postlens.sources.paths import Tree
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def platform_detect(pages: DataFrame, rendered: bool = False) -> DataFrame:
@@ -127,63 +135,69 @@ def robots_allow(urls: DataFrame, files: DataFrame, agent: str) -> DataFrame:
     ).drop("__target", "rules")
 
 
+_posting_tags, _dropped_tags, _dropped_roles = V.LISTING_TAGS, V.DROPPED_TAGS, V.DROPPED_ROLES
+_landmarks, _hints = V.LANDMARKS, V.HINT_ATTRIBUTES
+_listing_hint = re.compile(V.LISTING_HINT)
+
+
+def _region(tree: Tree, href: re.Pattern) -> tuple[int, int, int] | None:
+    """(element, links, score_e2) of the most listing-like element; one pass up the tree and one down."""
+    def listed(kind: str, names) -> np.ndarray:
+        return np.concatenate([tree.listed(kind, n) for n in names])
+
+    def alive(dropped: np.ndarray) -> np.ndarray:
+        out = tree.cover(dropped) == 0
+        out[dropped] = False
+        return out
+
+    def links_below(anchors: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.searchsorted(anchors, tree.post[of], "right") - np.searchsorted(anchors, of, "right")
+
+    anchors = tree.listed("tag", "a")
+    anchors = anchors[np.array([href.search(tree.attribute(a, "href") or "") is not None for a in anchors.tolist()], bool)]
+    roles = tree.listed("attr", "role")
+    roles = roles[np.array([tree.attribute(n, "role") in _dropped_roles for n in roles.tolist()], bool)]
+    noise = np.concatenate([listed("tag", _dropped_tags), roles])
+    anchors = anchors[alive(noise)[anchors]]
+    marks = listed("tag", _landmarks)
+    stays = alive(np.concatenate([noise, marks[links_below(anchors, marks) == 0]]))
+    regions = np.sort(listed("tag", _posting_tags))
+    links = links_below(anchors, regions)
+    wanted = {e: n for e, n in zip(regions.tolist(), links.tolist()) if n >= 2 and stays[e]}
+    children: dict[int, list[int]] = {}
+    for node in np.flatnonzero(stays).tolist():
+        parent = int(tree.parent[node])
+        if parent in wanted:
+            children.setdefault(parent, []).append(node)
+    best = None
+    for element, kids in sorted(children.items()):
+        tag, n = Counter(tree.nodes[k]["tag"] for k in kids).most_common(1)[0]
+        if n < max(2, len(kids) // 2):
+            continue
+        alike = Counter(" ".join(sorted(tree.nodes[k]["classes"])) for k in kids if tree.nodes[k]["tag"] == tag)
+        node = tree.nodes[element]
+        hints = " ".join([*node["classes"], node["id"], *(node["attrs"].get(a, "") for a in _hints)])
+        score = alike.most_common(1)[0][1] * (10 if n <= 2 * wanted[element] <= 4 * n else 4) * (12 if _listing_hint.search(hints) else 10)
+        if best is None or score > best[2]:
+            best = element, wanted[element], score
+    return best
+
+
 def listing_region(pages: DataFrame, href_pattern: str = V.POSTING_HREF) -> DataFrame:
     """The most listing-like element of each page, if any, with its score.
 
-    Score: children in the repeating pattern x shared class signature x link density
-    x hint.  The product of the first two is the count of the most common signature,
-    so ``score_e2`` is a whole number.
+    Noise (scripts, media, elements with the role of a landmark) and landmarks without posting links are left
+    out first.  Score: children in the repeating pattern x shared class signature x link density x hint.  The
+    product of the first two is the count of the most common signature, so ``score_e2`` is a whole number.
     """
-    rows = with_nodes(pages).select("page_id", "nodes")
-    nodes = F.col("nodes")
-
-    def mode(values: Column) -> Column:
-        counted = F.transform(F.array_distinct(values), lambda v: F.struct(
-            F.size(F.filter(values, lambda w: w == v)).alias("n"), (-F.array_position(values, v)).alias("early"), v.alias("v"),
-        ))
-        return F.array_max(counted)
-
-    def score(e: Column, links: Column) -> Column:
-        children = F.filter(inside(nodes, e), lambda n: n["parent"] == e["pre"])
-
-        def with_pattern(kids: Column) -> Column:
-            top = mode(F.transform(kids, lambda k: k["tag"]))
-
-            def rate(t: Column) -> Column:
-                same = F.filter(kids, lambda k: k["tag"] == t["v"])
-                signature = mode(F.transform(same, lambda k: F.array_join(F.array_sort(k["classes"]), " ")))
-                repeats = t["n"] >= F.greatest(F.lit(2), F.floor(F.size(kids) / 2))
-                per_child = links / t["n"]
-                density = F.when(per_child.between(0.5, 2.0), 10).otherwise(4)
-                hints = F.concat_ws(" ", F.array_join(e["classes"], " "), e["id"], *[
-                    F.try_element_at(e["attrs"], F.lit(a)) for a in ("data-testid", "data-test", "aria-label")
-                ])
-                hint = F.when(hints.rlike(V.LISTING_HINT), 12).otherwise(10)
-                return F.when(repeats & (t["n"] >= 2), signature["n"] * density * hint)
-
-            return F.when(F.size(kids) >= 2, bind(top, rate))
-
-        return bind(children, with_pattern)
-
-    anchors = F.filter(nodes, lambda n: (n["tag"] == "a") & F.try_element_at(n["attrs"], F.lit("href")).rlike(href_pattern))
-    marked = rows.withColumn("__anchors", anchors)
-    candidates = F.filter(
-        F.transform(
-            F.filter(nodes, lambda n: n["tag"].isin(*V.LISTING_TAGS)),
-            lambda e: F.struct(F.size(inside(F.col("__anchors"), e)).alias("links"), e.alias("e")),
-        ),
-        lambda c: c["links"] >= 2,
-    )
-    scored = marked.withColumn("__c", candidates).withColumn("__scores", F.transform(
-        "__c", lambda c: F.struct(
-            score(c["e"], c["links"]).alias("score_e2"), (-c["e"]["pre"]).alias("early"),
-            c["e"]["tag"].alias("tag"), c["e"]["pre"].alias("pre"), c["links"].alias("links"),
-        ),
-    ))
-    best = F.array_max(F.filter("__scores", lambda s: s["score_e2"] > 0))
-    return scored.select("page_id", best.alias("b")).filter("b IS NOT NULL").select(
-        "page_id", "b.tag", "b.pre", "b.links", "b.score_e2"
-    )
+    href = re.compile(href_pattern)
+
+    def made(tree, row):
+        best = _region(tree, href)
+        return [(tree.nodes[best[0]]["tag"], *best)] if best else ()
+
+    found = map_pages(pages, ["page_id"], made, "tag string, pre int, links int, score_e2 int")
+    return found.select("page_id", "tag", "pre", "links", "score_e2")
 
 
 __all__ = ["listing_region", "platform_detect", "robots_allow", "robots_rules"]

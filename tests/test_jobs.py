@@ -175,8 +175,8 @@ def test_selectors(spark):
     ]
     region = G.listing_region(page(spark, PAGE)).first()
     assert (region.tag, region.links, region.score_e2) == ("ul", 2, 240)
-    with pytest.raises(ValueError):
-        S.select_records(page(spark, PAGE), S.SelectorSet("li::before", "a"))
+    for bad in (S.SelectorSet("li::before", "a"), S.SelectorSet("li[[[broken", "a"), S.SelectorSet(None, "a"), S.SelectorSet("li", None)):
+        assert S.select_records(page(spark, PAGE), bad).collect() == []
 
 
 def test_hidden_elements(spark):
