@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions import fixed_values as V
-from postlens.operators import companies as C, matching as M, notifications as N
+from postlens.operators import candidates as K, companies as C, matching as M, notifications as N
 from postlens.operators.enrichment import enrich_update, enrichment_report
 from postlens.operators.postings import within_batch_dedup
-from postlens.operators.telemetry import first_scan_flag, match_counts
+from postlens.operators.telemetry import first_scan_flag
 from postlens.plans import sql as S
 from postlens.plans.sources import PREFERENCES, postings, profiles
 from postlens.plans.views import VIEWS, view
 from postlens.session import prepare
+from postlens.tables import written
 
 col = F.col
 KEYS = ["company_id", "content_hash"]
@@ -24,6 +25,11 @@ def distinct_postings(spark: SparkSession, sf: str) -> DataFrame:
     return within_batch_dedup(postings(spark, sf), order)
 
 
+def _prepared(spark, sf) -> DataFrame:
+    """The distinct postings as a table: normalised once, read by every step of a candidate search."""
+    return written(distinct_postings(spark, sf), "postings")
+
+
 def _scored(spark, sf) -> DataFrame:
     return M.rule_score(distinct_postings(spark, sf), profiles(spark, sf))
 
@@ -41,7 +47,7 @@ def score_components(spark, sf):
 
 
 def semantic_shortlist(spark, sf):
-    return M.semantic_shortlist(_scored(spark, sf), V.SHORTLIST_SIZE).select(*KEYS, "profile_id", "score_e4")
+    return K.shortlists(_prepared(spark, sf), profiles(spark, sf), V.SHORTLIST_SIZE).select(*KEYS, "profile_id", "score_e4")
 
 
 def _external(spark, sf) -> DataFrame:
@@ -54,7 +60,7 @@ def _external(spark, sf) -> DataFrame:
 
 
 def merge_external_scores(spark, sf):
-    scored = _scored(spark, sf)
+    scored = written(_scored(spark, sf), "scored")
     keys = [*KEYS, "profile_id"]
     short = M.semantic_shortlist(scored, V.SHORTLIST_SIZE)
     external = short.select(*keys).join(_external(spark, sf), "company_id")
@@ -63,20 +69,24 @@ def merge_external_scores(spark, sf):
 
 
 def enrichment_shortlist(spark, sf):
-    rows = distinct_postings(spark, sf)
-    scored = M.rule_score(rows, profiles(spark, sf))
-    return M.enrichment_shortlist(rows, scored, [*KEYS, "seq"], V.ENRICH_SIZE).select(*KEYS, "best_e4")
+    return K.enrichment_candidates(
+        _prepared(spark, sf), profiles(spark, sf), [*KEYS, "seq"], V.ENRICH_SIZE
+    ).select(*KEYS, "best_e4")
+
+
+def _active(spark, sf):
+    return _prepared(spark, sf).withColumns({"first_seen_at": col("seen_at"), "is_active": col("company_id") % 7 != 0})
 
 
-def _stored_matches(spark, sf):
-    rows = distinct_postings(spark, sf).withColumns({
-        "first_seen_at": col("seen_at"), "is_active": col("company_id") % 7 != 0,
-    })
-    return rows, M.rule_score(rows, profiles(spark, sf)).select(*KEYS, "profile_id", "score", "reasoning")
+def _stored_matches(spark, sf, least: float):
+    """Postings, and their matches from a score on."""
+    rows = _active(spark, sf)
+    found = K.scores_at_least(rows, profiles(spark, sf), F.lit(round(least * 10_000)))
+    return rows, found.select(*KEYS, "profile_id", "score", "reasoning")
 
 
 def results_query(spark, sf):
-    rows, matches = _stored_matches(spark, sf)
+    rows, matches = _stored_matches(spark, sf, 0.5)
     return M.results_query(
         rows, matches, KEYS, profile_id=3, min_score=0.5, location="nation", title="e",
         limit=100, order=[col("seq")],
@@ -84,7 +94,9 @@ def results_query(spark, sf):
 
 
 def group_by_company(spark, sf):
-    rows, matches = _stored_matches(spark, sf)
+    rows = _active(spark, sf)
+    first = profiles(spark, sf).filter("profile_id = 1")
+    matches = K.best_per_profile(rows.filter("is_active"), first, 200, F.lit(1), ["seq"]).select(*KEYS, "profile_id", "score", "reasoning")
     companies = view(prepare(spark), sf, "v_companies")
     page = M.results_query(rows, matches, KEYS, 1, show_all=True, limit=200, order=[col("seq")])
     named = C.posting_company(page, companies)
@@ -94,12 +106,12 @@ def group_by_company(spark, sf):
 
 
 def posting_scores(spark, sf):
-    rows, matches = _stored_matches(spark, sf)
+    rows, matches = _stored_matches(spark, sf, 0.4)
     return M.posting_scores(rows, matches, KEYS, profile_id=2, min_score=0.4).select(*KEYS, "score")
 
 
 def match_totals(spark, sf):
-    return match_counts(_scored(spark, sf), 0.6).select("company_id", "strong", "weak", "total", "best_score")
+    return K.company_totals(_prepared(spark, sf), profiles(spark, sf), 0.6)
 
 
 def _details(spark, sf) -> DataFrame:
@@ -133,10 +145,10 @@ def enrichment_totals(spark, sf):
 
 def alerts(spark, sf):
     """Matches of runs past the baseline, not yet claimed, rendered per channel."""
-    rows, _ = _stored_matches(spark, sf)
+    rows = _active(spark, sf)
     runs = first_scan_flag(view(prepare(spark), sf, "v_runs"))
     gate = runs.groupBy("company_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
-    scored = M.rule_score(rows, profiles(spark, sf))
+    scored = K.matches(rows, profiles(spark, sf))
     messages = scored.join(gate, "company_id").select(
         "run_id", "is_match", (col("seq") % 500).alias("job_id"), col("profile_id").alias("user_id"),
         "score", "reasoning", "matched_skills", col("title").alias("job_title"),

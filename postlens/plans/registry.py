@@ -7,9 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.operators.matching import results_query, rule_score
+from postlens.operators.candidates import matches as matching_pairs
+from postlens.operators.matching import results_query
 from postlens.plans.sources import postings, profiles
 from postlens.operators.postings import within_batch_dedup
+from postlens.tables import written
 
 AREAS = (
     "text_checks", "posting_checks", "matching_checks", "telemetry_checks", "page_checks", "board_checks",
@@ -34,7 +36,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         postings(spark, sf_dir), [F.col(c) for c in ("seq", "url", "location_raw", "seen_at")]
     ).withColumns({"first_seen_at": F.col("seen_at"), "is_active": F.lit(True)})
     keys = ["company_id", "content_hash"]
-    matches = rule_score(rows, profiles(spark, sf_dir)).select(
+    rows = written(rows, "postings")
+    matches = matching_pairs(rows, profiles(spark, sf_dir)).select(
         *keys, "profile_id", "score", "reasoning"
     )
     return results_query(

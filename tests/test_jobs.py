@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.operators import matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
+from postlens.operators import candidates as K, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
 from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join
 from postlens.operators.prices import price_lookup
@@ -67,6 +67,59 @@ def test_every_profile_meets_every_posting(spark):
     assert {tuple(r) for r in got.collect()} == {("Backend Engineer", 3000, 3000), ("Analyst", 3000, 3000)}
 
 
+@pytest.fixture(scope="module")
+def market(spark):
+    """Postings and profiles that meet in every way a score can come about."""
+    import random
+
+    rng = random.Random(12)
+    places = [None, "Berlin, Germany", "Remote", "Remote - US", "Bengaluru", "Hybrid, Oslo", "Paris", "Berlingen", "Multiple Locations"]
+    titles = ["Backend Engineer", "Senior Data Analyst", "Engineers", "Staff Platform Engineer (m/f/d)", "QA", "Lead QA Tester", "!!!", "Sales Manager", "C Developer", "Junior Developer", "Data"]
+    jobs = [(c, s, rng.choice(titles), f"https://x.com/{c}/{s}", rng.choice(places), rng.choice([None, "Sales team", "Unpaid python"]))
+            for c in range(6) for s in range(40)] + [(9, 1, "Unpaid Sales", "https://x.com/z", "Paris", None)]
+    raw = spark.createDataFrame(jobs, "company_id bigint, seq bigint, title string, url string, location string, description string")
+    wants = [["Backend Engineer"], ["Engineer"], [], ["QA Tester", "Data"], ["Data Analyst II"], ["gine"], [""], ["Developer of things and more"]]
+    where = [[], ["Berlin"], ["Remote"], ["Oslo", "Paris", "Remote"], ["a"], ["Berlin, Germany somewhere"]]
+    rows = [(i, rng.choice(["junior", "mid", "senior", "unknown"]), rng.choice(["any", "remote_only"]), rng.randrange(3), rng.random() < 0.5,
+             rng.choice([0.0, 0.3, 0.6, 0.9]), rng.choice(wants), rng.choice(where), ["python"], rng.choice([[], ["Unpaid"], ["Sales"]])) for i in range(60)]
+    fields = profile(spark).columns
+    schema = ("profile_id int, seniority string, remote_preference string, max_seniority_gap int, include_unknown_location boolean, "
+              "match_threshold double, preferred_roles array<string>, preferred_locations array<string>, preferred_skills array<string>, excluded_keywords array<string>")
+    assert len(fields) == len(rows[0])
+    return normalize_postings(raw, F.lit(TODAY).cast("date"), keep=("seq",)).dropDuplicates(list(KEY)).cache(), spark.createDataFrame(rows, schema).cache()
+
+
+PAIR = [*KEY, "profile_id"]
+
+
+@pytest.mark.parametrize("least", [1, 3_600, 5_001, 8_500])
+def test_candidates_lose_no_pair(spark, market, least):
+    jobs, people = market
+    every = M.rule_score(jobs, people).filter(~F.col("vetoed") & (F.col("score_e4") >= least))
+    columns = [*PAIR, "score_e4", "reasoning", "is_match", "threshold"]
+    got = {tuple(r) for r in K.scores_at_least(jobs, people, F.lit(least)).select(*columns).collect()}
+    assert got == {tuple(r) for r in every.select(*columns).collect()} and got
+
+
+def test_shortlists_without_all_pairs(spark, market):
+    jobs, people = market
+    every = M.rule_score(jobs, people).cache()
+
+    def rows(df, *columns):
+        return sorted(tuple(r) for r in df.select(*columns).collect())
+    for size in (3,):
+        assert rows(K.shortlists(jobs, people, size), *PAIR, "score_e4") == rows(M.semantic_shortlist(every, size), *PAIR, "score_e4")
+    assert rows(K.matches(jobs, people), *PAIR) == rows(every.filter("is_match"), *PAIR)
+    for size in (5, 1000):
+        assert rows(K.enrichment_candidates(jobs, people, [*KEY, "seq"], size), *KEY, "best_e4") == rows(
+            M.enrichment_shortlist(jobs, every, [*KEY, "seq"], size), *KEY, "best_e4")
+    totals = ["company_id", "strong", "weak", "total", "best_score"]
+    assert rows(K.company_totals(jobs, people), *totals) == rows(TL.match_counts(every), *totals)
+    for jobs, people in ((jobs.limit(0), people), (jobs, people.limit(0))):
+        assert K.shortlists(jobs, people, 3).count() == 0
+    assert K.company_totals(jobs, people).count() == 0
+
+
 def batch(spark, titles, same_url=False):
     rows = [(1, "api", t, "https://x/1" if same_url else f"https://x/{i}", "Berlin", "today", None) for i, t in enumerate(titles)]
     return spark.createDataFrame(rows, "company_id int, tier string, title string, url string, location string, posted_at string, description string")
