@@ -8,6 +8,8 @@ from functools import wraps
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlens.tables import written
+
 
 def per_context(build: Callable):
     """Keep what ``build`` returns for the life of the Spark context.
@@ -71,28 +73,67 @@ def page_of(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0)
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
-def running_totals(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
-    sums: dict[str, Column],
-) -> DataFrame:
-    """Cumulative sums per key without sorting a whole key in one task.
+SLICE_ROWS = 250_000      # rows of a slice, about
+SCAN = 256                # slices that one task scans
+
+
+def ordered_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` as a table with ``slice``, in which slices of about ``SLICE_ROWS`` rows follow ``order``.
 
-    Rows are summed inside (key, time bucket); the totals of earlier buckets, a
-    small frame, are added by a join.  Hot keys spread over their buckets.
+    The range partitioning splits any key or hour that is hot, as long as ``order`` tells rows apart.
     """
-    parts = df.withColumn("__bucket", bucket)
-    groups = [*keys, "__bucket"]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SLICE_ROWS))
+    dealt = df.repartitionByRange(parts, *order)
+    return written(dealt.withColumn("slice", F.spark_partition_id()), "slices")
+
+
+def before_slice(parts: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
+    """Per row (*keys, slice) of ``parts`` the sums and maxima over the earlier slices of its key, null at the first.
+
+    A scan in levels: blocks of ``SCAN`` slices are scanned apart, then the totals of the blocks in the same
+    way, so no task sees more than ``SCAN`` rows of a key.
+    """
+    columns = [*sums, *maxima]
+    most = parts.agg(F.max("slice")).first()[0]
+
+    def scan(level: DataFrame, last: int) -> DataFrame:
+        block = F.floor(F.col("slice") / SCAN).cast("int")
+        earlier = Window.partitionBy(*keys, "__block").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        inside = level.withColumn("__block", block).select(
+            *keys, "slice", "__block", *[F.sum(c).over(earlier).alias(c) for c in sums],
+            *[F.max(c).over(earlier).alias(c) for c in maxima],
+        )
+        if last < SCAN:
+            return inside.drop("__block")
+        totals = level.groupBy(*keys, block.alias("slice")).agg(
+            *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxima]
+        )
+        above = scan(totals, last // SCAN).select(
+            *keys, F.col("slice").alias("__block"), *[F.col(c).alias(f"__{c}") for c in columns]
+        )
+        joined = inside.join(above, [*keys, "__block"])
+        both = {c: F.coalesce(F.col(c) + F.col(f"__{c}"), c, f"__{c}") for c in sums}
+        both |= {c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in maxima}     # later slices hold the greater values
+        return joined.withColumns(both).drop("__block", *[f"__{c}" for c in columns])
+
+    return scan(parts, most or 0)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Cumulative sums per key in ``order`` without sorting a whole key in one task.
+
+    Rows are summed inside (key, slice); the totals of earlier slices, a small frame, are added by a join.
+    """
+    return totals_in_slices(ordered_slices(df, [*keys, *order]), keys, order, sums).drop("slice")
+
+
+def totals_in_slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    groups = [*keys, "slice"]
     inside = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = (
-        Window.partitionBy(*keys).orderBy("__bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = parts.groupBy(*groups).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-    carried = totals.select(
-        *groups, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__before_{n}") for n in sums]
-    )
-    local = parts.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()})
-    joined = local.join(carried, groups)
+    totals = written(rows.groupBy(*groups).agg(*[F.sum(v).alias(n) for n, v in sums.items()]), "slice-totals")
+    carried = before_slice(totals, keys, list(sums))
+    carried = carried.select(*groups, *[F.col(n).alias(f"__before_{n}") for n in sums])
+    joined = rows.withColumns({n: F.sum(v).over(inside) for n, v in sums.items()}).join(carried, groups)
     return joined.withColumns(
-        {n: F.col(n) + F.col(f"__before_{n}") for n in sums}
-    ).drop("__bucket", *[f"__before_{n}" for n in sums])
+        {n: F.col(n) + F.coalesce(F.col(f"__before_{n}"), F.lit(0)) for n in sums}
+    ).drop(*[f"__before_{n}" for n in sums])

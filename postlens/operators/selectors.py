@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.functions import fixed_values as V
-from postlens.operators.common import first_per_key, top_per_key
+from postlens.operators.common import first_per_key, ordered_slices, top_per_key
 
 
 def active_selector(selectors: DataFrame) -> DataFrame:
@@ -90,18 +90,17 @@ def _compose(steps: np.ndarray) -> tuple[list[int], list[int]]:
     return starts.tolist(), values.tolist()
 
 
-def selector_health(
-    attempts: DataFrame, bucket: Column, initial_e4: int = 10_000
-) -> DataFrame:
+def selector_health(attempts: DataFrame, initial_e4: int = 10_000) -> DataFrame:
     """Confidence, streak and counters per website after all its attempts.
 
     ``attempts(website, ts, attempt_id, ok, confidence_e4)``.  The moving average
     c <- .7c + .3x (success) or .7c (failure) with rounding is order-dependent, so
-    attempts of one (website, time bucket) are composed into a step function in
-    parallel, and only those small functions are applied in order per website.
+    the attempts of one (website, slice of time) are composed into a step function in
+    parallel, and only those small functions are applied in order per website.  Slices
+    are bounded in rows, so a website with a third of all attempts is many of them.
     """
     schema = (
-        "website string, bucket timestamp, starts array<int>, effects array<int>, "
+        "website string, slice int, starts array<int>, effects array<int>, "
         "n bigint, n_ok bigint, tail bigint, any_ok boolean"
     )
 
@@ -112,31 +111,27 @@ def selector_health(
         hits = np.flatnonzero(ok)
         tail = len(ok) - 1 - hits[-1] if len(hits) else len(ok)
         return pd.DataFrame([{
-            "website": pdf["website"].iloc[0], "bucket": pdf["bucket"].iloc[0], "starts": starts,
+            "website": pdf["website"].iloc[0], "slice": pdf["slice"].iloc[0], "starts": starts,
             "effects": effects, "n": len(ok), "n_ok": int(ok.sum()), "tail": int(tail),
             "any_ok": bool(ok.any()),
         }])
 
-    parts = (
-        attempts.select(
-            "website", bucket.cast("timestamp").alias("bucket"), "ts", "attempt_id", "ok",
-            F.col("confidence_e4").cast("int").alias("confidence_e4"),
-        ).groupBy("website", "bucket").applyInPandas(summarise, schema)
-    )
+    told = attempts.select("website", "ts", "attempt_id", "ok", F.col("confidence_e4").cast("int").alias("confidence_e4"))
+    parts = ordered_slices(told, ["website", "ts", "attempt_id"]).groupBy("website", "slice").applyInPandas(summarise, schema)
 
-    def apply_bucket(state: Column, b: Column) -> Column:
+    def apply_slice(state: Column, b: Column) -> Column:
         at = F.size(F.filter(b["starts"], lambda s: s <= state["c"])) - 1
         return F.struct(
             F.get(b["effects"], at).alias("c"),
             F.when(b["any_ok"], b["tail"]).otherwise(state["streak"] + b["tail"]).alias("streak"),
         )
 
-    ordered = F.array_sort(F.collect_list(F.struct("bucket", "starts", "effects", "tail", "any_ok")))
+    ordered = F.array_sort(F.collect_list(F.struct("slice", "starts", "effects", "tail", "any_ok")))
     folded = parts.groupBy("website").agg(
         F.aggregate(
             ordered,
             F.struct(F.lit(initial_e4).alias("c"), F.lit(0).cast("bigint").alias("streak")),
-            apply_bucket,
+            apply_slice,
         ).alias("state"),
         F.sum("n_ok").alias("success_count"),
         (F.sum("n") - F.sum("n_ok")).alias("failure_count"),

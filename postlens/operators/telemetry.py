@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.functions import fixed_values as V
-from postlens.operators.common import running_totals, top_per_key
+from postlens.operators.common import before_slice, ordered_slices, running_totals, top_per_key, totals_in_slices
+from postlens.tables import written
 
 OK_STATUSES = ("success", "partial")
 RUN_ORDER = ("started_at", "run_id")
@@ -164,12 +165,12 @@ def schedule_next(runs: DataFrame, bucket: Column, interval_minutes: int = 60) -
 def daily_spend(calls: DataFrame, limit_e4: int) -> DataFrame:
     """Running model cost per UTC day with exhausted flag and remainder.
 
-    ``calls(ts, call_id, cost_e4)``; hours are summed apart and chained.
+    ``calls(ts, call_id, cost_e4)``; slices of a day are summed apart and chained, so an hour with all
+    calls of a day is split as well.
     """
     day = calls.withColumn("day", F.to_date("ts"))
     out = running_totals(
-        day, ["day"], F.hour("ts"), [F.col("ts"), F.col("call_id")],
-        {"spent_e4": F.col("cost_e4"), "calls_today": F.lit(1)},
+        day, ["day"], ["ts", "call_id"], {"spent_e4": F.col("cost_e4"), "calls_today": F.lit(1)}
     )
     return out.withColumns({
         "exhausted": F.col("spent_e4") >= limit_e4,
@@ -177,26 +178,24 @@ def daily_spend(calls: DataFrame, limit_e4: int) -> DataFrame:
     })
 
 
-def breaker_episodes(calls: DataFrame, bucket: Column) -> DataFrame:
+def breaker_episodes(calls: DataFrame) -> DataFrame:
     """Runs of failures, with gaps up to the cooldown, that reach the threshold.
 
     ``calls(ts, call_id, ok)``.  A success or a longer gap resets the count.  The
-    ledger has no key, so order is taken inside time buckets and the last call of
-    the bucket before is carried over.
+    ledger has no key, so order is taken inside slices of time, and the last call of
+    the slices before and their number of runs are carried over by a scan in levels.
     """
-    parts = calls.select("ts", "call_id", "ok", bucket.alias("bucket"))
-    inside = Window.partitionBy("bucket").orderBy("ts", "call_id")
-    last = parts.groupBy("bucket").agg(F.max(F.struct("ts", "call_id", "ok")).alias("tail"))
-    carried = last.select("bucket", F.lag("tail").over(Window.orderBy("bucket")).alias("carried"))
-    previous = F.coalesce(F.lag(F.struct("ts", "call_id", "ok")).over(inside), F.col("carried"))
-    chained = parts.join(carried, "bucket").withColumn("prev", previous)
+    parts = ordered_slices(calls.select("ts", "call_id", "ok"), ["ts", "call_id"])
+    inside = Window.partitionBy("slice").orderBy("ts", "call_id")
+    tails = written(parts.groupBy("slice").agg(F.max(F.struct("ts", "call_id", "ok")).alias("tail")), "slice-tails")
+    previous = F.coalesce(F.lag(F.struct("ts", "call_id", "ok")).over(inside), F.col("tail"))
+    chained = parts.join(before_slice(tails, [], maxima=["tail"]), "slice").withColumn("prev", previous)
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev.ts").cast("timestamp"))
     fresh = F.col("prev").isNull() | F.col("prev.ok") | (gap > V.BREAKER_COOLDOWN_SECONDS * 1_000_000)
-    failures = chained.filter(~F.col("ok")).withColumn("one", F.lit(1))
-    islands = running_totals(
-        failures.withColumn("starts", fresh.cast("int")), ["one"], F.col("bucket"),
-        [F.col("ts"), F.col("call_id")], {"island": F.col("starts")},
+    failures = written(
+        chained.filter(~F.col("ok")).select("ts", "call_id", "slice", fresh.cast("int").alias("starts")), "failures"
     )
+    islands = totals_in_slices(failures, [], ["ts", "call_id"], {"island": F.col("starts")})
     reached = islands.groupBy("island").agg(
         F.count(F.lit(1)).alias("failures"), F.max("ts").alias("last_failure_at")
     ).filter(F.col("failures") >= V.BREAKER_FAILURES)

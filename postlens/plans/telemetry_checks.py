@@ -123,7 +123,7 @@ def breaker_episodes(spark, sf):
         ).cast("timestamp_ntz").alias("ts"),
         col("run_id").alias("call_id"), (col("jobs_found") % 3 == 0).alias("ok"),
     )
-    return T.breaker_episodes(calls, F.date_trunc("minute", "ts"))
+    return T.breaker_episodes(calls)
 
 
 def politeness_audit(spark, sf):
@@ -139,7 +139,7 @@ def politeness_audit(spark, sf):
 
 def selector_health(spark, sf):
     attempts = _attempts(spark, sf).withColumn("confidence_e4", col("confidence_pct") * 100)
-    return L.selector_health(attempts, F.date_trunc("day", "ts"))
+    return L.selector_health(attempts)
 
 
 def selector_success_rate(spark, sf):

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from postlens.functions import fixed_values as V
+from postlens.operators import common
 from postlens.operators import candidates as K, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
 from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join
@@ -145,17 +147,68 @@ def test_ladder_choice(spark):
     assert row.tier == "css_selector" and row.trail == ["api:miss(3)", "css_selector:ok(3)"]
 
 
-def test_selector_health_equals_plain_fold(spark):
+@pytest.fixture
+def tiny_slices(monkeypatch):
+    """Slices of a few rows and scans of three, so that small data has several levels."""
+    monkeypatch.setattr(common, "SLICE_ROWS", 6)
+    monkeypatch.setattr(common, "SCAN", 3)
+
+
+def test_selector_health_equals_plain_fold(spark, tiny_slices):
     import random
 
     rnd = random.Random(7)
-    rows = [("w", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i, rnd.random() < 0.6, rnd.randrange(10_001)) for i in range(300)]
+    rows = [("w", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i // 50), i, rnd.random() < 0.6, rnd.randrange(10_001)) for i in range(300)]
     c, streak = 10_000, 0
     for *_, ok, x in rows:
         c, streak = (7 * c + (3 * x if ok else 0) + 5) // 10, 0 if ok else streak + 1
+    rows += [("v", dt.datetime(2024, 1, 1), 1, False, 0)]
     df = spark.createDataFrame(rows, "website string, ts timestamp, attempt_id int, ok boolean, confidence_e4 int")
-    got = L.selector_health(df, F.date_trunc("day", "ts")).first()
-    assert (got.confidence_e4, got.consecutive_failures) == (c, streak)
+    got = {r.website: (r.confidence_e4, r.consecutive_failures, r.success_count, r.failure_count) for r in L.selector_health(df).collect()}
+    good = sum(ok for *_, ok, _ in rows)
+    assert got == {"w": (c, streak, good, 300 - good), "v": (7_000, 1, 0, 1)}
+    assert L.selector_health(df.limit(0)).count() == 0
+
+
+def test_running_totals_over_slices(spark, tiny_slices):
+    import random
+
+    rnd = random.Random(3)
+    at = dt.datetime(2024, 1, 1, 5)          # all calls of the first day in one second
+    rows = [(at, i, rnd.randrange(9)) for i in range(200)] + [(at + dt.timedelta(days=1 + i // 7), 1000 + i, 1) for i in range(20)]
+    calls = spark.createDataFrame(rows, "ts timestamp, call_id int, cost_e4 int")
+    got = {r.call_id: (r.spent_e4, r.calls_today, r.exhausted) for r in TL.daily_spend(calls, 100).collect()}
+    want, total = {}, {}
+    for ts, i, cost in rows:
+        spent, n = total.get(ts.date(), (0, 0))
+        total[ts.date()] = spent + cost, n + 1
+        want[i] = spent + cost, n + 1, spent + cost >= 100
+    assert got == want
+    slices = common.ordered_slices(calls, ["ts", "call_id"])
+    assert slices.groupBy("slice").count().agg(F.max("count")).first()[0] < 60
+    assert TL.daily_spend(calls.limit(0), 100).count() == 0
+
+
+def test_breaker_episodes_equal_plain_fold(spark, tiny_slices):
+    import random
+
+    rnd = random.Random(9)
+    ts, rows = dt.datetime(2024, 1, 1), []
+    for i in range(300):
+        ts += dt.timedelta(seconds=rnd.choice([0, 1, 30, 4000]))
+        rows.append((ts, i, rnd.random() < 0.15))
+    df = spark.createDataFrame(rows, "ts timestamp, call_id int, ok boolean")
+    runs, last = [], None
+    for ts, i, ok in rows:
+        if not ok:
+            if last is None or last[1] or (ts - last[0]).total_seconds() > V.BREAKER_COOLDOWN_SECONDS:
+                runs.append([])
+            runs[-1].append(ts)
+        last = ts, ok
+    want = sorted((r[V.BREAKER_FAILURES - 1], len(r)) for r in runs if len(r) >= V.BREAKER_FAILURES)
+    got = sorted((r.opened_at, r.failures) for r in TL.breaker_episodes(df).collect())
+    assert got == want and want
+    assert TL.breaker_episodes(df.limit(0)).count() == 0
 
 
 def test_schedule_next_caps_backoff(spark):
