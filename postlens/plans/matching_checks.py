@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions import fixed_values as V
-from postlens.operators import candidates as K, companies as C, matching as M, notifications as N
+from postlens.operators import candidates as K, companies as C, matchers as X, matching as M, notifications as N
 from postlens.operators.enrichment import enrich_update, enrichment_report
 from postlens.operators.postings import within_batch_dedup
 from postlens.operators.telemetry import first_scan_flag
@@ -68,6 +68,14 @@ def merge_external_scores(spark, sf):
     return merged.select(*keys, "score_e4", "matcher", "reasoning", "is_match")
 
 
+def matcher_contract(spark, sf):
+    """The second matcher on every pair that the rule lets through with half its points."""
+    rows, people = _prepared(spark, sf), profiles(spark, sf)
+    return X.match("skills", rows, people, 5_000).select(
+        *KEYS, "profile_id", "score_e4", "is_match", "matcher", "reasoning", F.array_join("matched_skills", "|").alias("matched")
+    )
+
+
 def enrichment_shortlist(spark, sf):
     return K.enrichment_candidates(
         _prepared(spark, sf), profiles(spark, sf), [*KEYS, "seq"], V.ENRICH_SIZE
@@ -169,7 +177,7 @@ def alerts(spark, sf):
 QUERIES = {
     "rule_score": rule_score, "score_components": score_components,
     "semantic_shortlist": semantic_shortlist, "merge_external_scores": merge_external_scores,
-    "enrichment_shortlist": enrichment_shortlist, "results_query": results_query,
+    "matcher_contract": matcher_contract, "enrichment_shortlist": enrichment_shortlist, "results_query": results_query,
     "group_by_company": group_by_company, "posting_scores": posting_scores,
     "match_counts": match_totals, "enrich_update": enriched, "enrichment_report": enrichment_totals,
     "alerts": alerts,
@@ -269,6 +277,8 @@ def _sql() -> dict[str, str]:
             SELECT {k}, profile_id, e4 AS score_e4, CASE WHEN best IS NOT NULL THEN 'external' ELSE 'rule' END AS matcher,
               CASE WHEN best IS NOT NULL THEN 'given ' || CAST(best AS VARCHAR) WHEN listed THEN reasoning || ' (semantic scoring unavailable: no external score)' ELSE reasoning END AS reasoning,
               veto_reason IS NULL AND e4 >= round(threshold * 10000) AS is_match FROM n""",
+        "matcher_contract": s + f""", x AS (SELECT *, CASE WHEN len(want) > 0 THEN (10000 * len(matched)) // len(want) ELSE 0 END AS e4 FROM scored WHERE veto_reason IS NULL AND score_e4 >= 5000)
+            SELECT {k}, profile_id, CAST(e4 AS INTEGER) AS score_e4, e4 >= round(threshold * 10000) AS is_match, 'skills' AS matcher, len(matched) || ' of ' || len(want) || ' skills' AS reasoning, array_to_string(matched, '|') AS matched FROM x""",
         "enrichment_shortlist": s + f" SELECT {k}, max(score_e4) AS best_e4 FROM scored WHERE description IS NULL AND veto_reason IS NULL GROUP BY {k}, seq HAVING max(score_e4) > 0 ORDER BY best_e4 DESC, {k}, seq LIMIT 40",
         "results_query": s + f" SELECT {k}, title, score_e4 / 10000 AS score FROM scored WHERE profile_id = 3 AND company_id % 7 <> 0 AND score_e4 >= 5000 AND location_raw ILIKE '%nation%' AND title ILIKE '%e%' ORDER BY score_e4 DESC, seq LIMIT 100",
         "group_by_company": s + f""", v_companies AS ({VIEWS['v_companies']}), page AS (SELECT * FROM scored WHERE profile_id = 1 AND company_id % 7 <> 0 ORDER BY score_e4 DESC, seq LIMIT 200),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens.functions import fixed_values as V
 from postlens.operators import common
-from postlens.operators import candidates as K, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
+from postlens.operators import candidates as K, matchers as X, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
 from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join
 from postlens.operators.prices import price_lookup
@@ -122,6 +122,32 @@ def test_shortlists_without_all_pairs(spark, market):
     assert K.company_totals(jobs, people).count() == 0
 
 
+def test_matcher_contract(spark):
+    import pyarrow as pa
+
+    jobs = job(spark, "Backend Engineer", description="Python and AWS").unionByName(job(spark, "Analyst", description="Excel"))
+    people = profile(spark, preferred_skills=["Python", "Django"])
+    pairs = jobs.select(*KEY).withColumn("profile_id", F.lit(1))
+    by_skills = X.score_pairs("skills", jobs, people, pairs).orderBy("score_e4").collect()
+    assert [(r.score_e4, r.is_match, r.matched_skills, r.missing_skills) for r in by_skills] == [
+        (0, False, [], ["Python", "Django"]), (5_000, False, ["Python"], ["Django"])]
+    by_rule = X.score_pairs("rule", jobs, people, pairs)
+    assert by_rule.columns == X.score_pairs("skills", jobs, people, pairs).columns and by_rule.filter("is_match").count() == 1
+    with pytest.raises(ValueError):
+        X.score_pairs("none", jobs, people, pairs)
+    with pytest.raises(ValueError):
+        X.register_matcher(X.Matcher("skills", "2", (), lambda b: b))
+    good = {"score_e4": [5], "vetoed": [False], "veto_reason": pa.nulls(1, pa.string()), "matched_skills": [[]], "missing_skills": [["a"]], "reasoning": [""]}
+    assert len(X.checked("m", pa.table(good), 1)) == 6
+    for bad in ({"score_e4": [10_001]}, {"score_e4": [None]}, {"vetoed": [None]}, {"score_e4": ["x"]}):
+        with pytest.raises((ValueError, pa.ArrowInvalid)):
+            X.checked("m", pa.table(good | bad), 1)
+    with pytest.raises(ValueError):
+        X.checked("m", pa.table(good), 2)
+    with pytest.raises(ValueError):
+        X.checked("m", pa.table(good).drop_columns(["reasoning"]), 1)
+
+
 def batch(spark, titles, same_url=False):
     rows = [(1, "api", t, "https://x/1" if same_url else f"https://x/{i}", "Berlin", "today", None) for i, t in enumerate(titles)]
     return spark.createDataFrame(rows, "company_id int, tier string, title string, url string, location string, posted_at string, description string")
