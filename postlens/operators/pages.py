@@ -88,21 +88,33 @@ def robots_rules(files: DataFrame) -> DataFrame:
     return files.select("domain", F.aggregate(used, start, number)["lines"].alias("lines"))
 
 
+def _rule_fits(target: Column, rule: Column) -> Column:
+    """Whether ``target`` starts with the parts of a rule in their order, and ends with the last if it must."""
+    parts, whole = rule["parts"], rule["whole"]
+    first, last, n = F.get(parts, F.lit(0)), F.get(parts, F.size(parts) - 1), F.size(parts)
+    plain = F.when(whole, target == first).otherwise(F.startswith(target, first))
+    # between the first part and an anchored last one each part is taken where it comes first; 0 is "nowhere"
+    middle = F.slice(parts, 2, F.greatest(F.when(whole, n - 2).otherwise(n - 1), F.lit(0)))
+    after = F.aggregate(
+        middle, F.when(F.startswith(target, first), F.length(first) + 1).otherwise(0),
+        lambda at, part: F.when((at == 0) | (part == "") | part.isNull(), at).otherwise(
+            bind(F.position(part, target, at), lambda found: F.when(found > 0, found + F.length(part)).otherwise(0))
+        ),
+    )
+    ends = ~whole | (F.endswith(target, last) & (F.length(target) - F.length(last) + 1 >= after))
+    return F.when(n == 1, plain).otherwise(bind(after, lambda at: at > 0) & ends)
+
+
 def robots_allow(urls: DataFrame, files: DataFrame, agent: str) -> DataFrame:
     """``allowed`` per ``urls(url, domain)``: named group before ``*``, longest rule wins.
 
     Rules of a domain are one small array that its links meet by an equi join; no
-    link-rule pairs are made.  Domains without a file are open.
+    link-rule pairs are made.  A rule is split at its stars once per domain, and its
+    parts are looked up from left to right.  Domains without a file are open.
     """
     name = agent.lower()
     rules = robots_rules(files)
 
-    def pattern(value: Column) -> Column:
-        literal = F.regexp_replace(value, r"([\\^$.|?+()\[\]{}])", r"\\$1")
-        end = F.when(value.endswith("$"), "$").otherwise("")
-        core = F.regexp_replace(F.when(value.endswith("$"), F.regexp_replace(literal, r"\\\$$", "")).otherwise(literal), r"\*", ".*")
-        return F.concat(F.lit("(?s)^"), core, end)
-
     agents = F.filter("lines", lambda l: l["key"] == "user-agent")
     named = F.filter(
         agents, lambda a: (a["value"] != "*") & (a["value"] != "") & F.contains(F.lit(name), F.lower(a["value"]))
@@ -120,7 +132,8 @@ def robots_allow(urls: DataFrame, files: DataFrame, agent: str) -> DataFrame:
         F.filter("lines", lambda l: (l["group"] == F.col("__group")) & l["key"].isin("allow", "disallow")
                  & ((l["key"] == "allow") | (l["value"] != ""))),
         lambda l: F.struct(
-            F.length(l["value"]).alias("size"), (l["key"] == "allow").alias("allow"), pattern(l["value"]).alias("regex"),
+            F.length(l["value"]).alias("size"), (l["key"] == "allow").alias("allow"),
+            F.split(F.regexp_replace(l["value"], r"\$$", ""), r"\*").alias("parts"), l["value"].endswith("$").alias("whole"),
         ),
     ).alias("rules"))
     target = F.concat(
@@ -128,7 +141,7 @@ def robots_allow(urls: DataFrame, files: DataFrame, agent: str) -> DataFrame:
     )
     decoded = F.coalesce(F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))), target)
     aimed = urls.withColumn("__target", F.when(decoded == "", "/").otherwise(decoded))
-    hits = F.filter("rules", lambda r: F.rlike(F.col("__target"), r["regex"]))
+    hits = F.filter("rules", lambda r: _rule_fits(F.col("__target"), r))
     winner = F.array_max(F.transform(hits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow"))))
     return aimed.join(chosen, "domain", "left").withColumn(
         "allowed", F.coalesce(winner["allow"], F.lit(True))

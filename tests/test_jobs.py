@@ -277,6 +277,21 @@ def test_robots(spark):
     assert got == [True] * 5
 
 
+def test_robots_rules_equal_regular_expressions(spark):
+    import random
+    import re
+
+    rng = random.Random(1)
+    rules = ["".join(rng.choices("/ab*.", k=rng.randrange(0, 6))) + rng.choice(["", "$"]) for _ in range(60)] + ["/*$", "*", "$", "/a**b", "/[x](y)+"]
+    targets = ["/" + "".join(rng.choices("/ab.", k=rng.randrange(0, 7))) for _ in range(60)] + ["/[x](y)+z"]
+    files = spark.createDataFrame([(f"h{i}.com", f"User-agent: *\nDisallow: {r}") for i, r in enumerate(rules)], "domain string, text string")
+    urls = spark.createDataFrame([(i, t, f"https://h{i}.com{t}", f"h{i}.com") for i in range(len(rules)) for t in targets], "i int, t string, url string, domain string")
+    for r in G.robots_allow(urls, files, "x").collect():
+        rule = rules[r.i]
+        core = ".*".join(map(re.escape, rule.removesuffix("$").split("*"))) + ("$" if rule.endswith("$") else "")
+        assert r.allowed == (rule == "" or re.match(core, r.t) is None), (rule, r.t)
+
+
 def test_price_lookup(spark):
     prices = spark.createDataFrame([("m-1", 1.0, 2.0), ("m-1-x", 5.0, 6.0)], "model_prefix string, price_in double, price_out double")
     usage = spark.createDataFrame([("m-1-2026", 10**6, 10**6), ("m-1-x-9", 10**6, 0), ("other", 10**6, 0)], "model string, tokens_in bigint, tokens_out bigint")
