@@ -235,9 +235,9 @@ def seed_list(spark, sf):
 
 
 def skill_list(spark, sf):
-    """First words of all conversations as a skill file."""
+    """All turns of all conversations as lines of a skill file."""
     talks = view(prepare(spark), sf, "conversations").select(
-        (col("conv_id") * 1_000 + col("turn")).alias("line_no"), F.substring_index("text", " ", 1).alias("line")
+        (col("conv_id") * 1_000 + col("turn")).alias("line_no"), col("text").alias("line")
     )
     return intake.skill_list(talks)
 
@@ -312,7 +312,7 @@ def _sql() -> dict[str, str]:
         "raw_payload_trim": """SELECT doc_id, CAST(length(text) AS INTEGER) AS kept_chars, md5(text) AS text_md5,
             't' || CAST(doc_id AS VARCHAR) AS source_title, 'own' AS source_url, 4 AS keys FROM documents""",
         "seed_list": "SELECT min(page_id) * 4 AS line_no, url, 'Name ' || CAST(min(page_id) AS VARCHAR) || ' | x' AS name FROM pages GROUP BY url",
-        "skill_list": """WITH t AS (SELECT conv_id * 1000 + turn AS line_no, trim(split_part(text, ' ', 1)) AS skill FROM conversations),
+        "skill_list": """WITH t AS (SELECT conv_id * 1000 + turn AS line_no, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS skill FROM conversations),
             r AS (SELECT *, row_number() OVER (PARTITION BY lower(skill) ORDER BY line_no) AS rn FROM t WHERE skill <> '' AND NOT starts_with(skill, '#')) SELECT line_no, skill FROM r WHERE rn = 1""",
         "assemble_payload_pages": with_views("v_runs") + """, n AS (SELECT run_id, company_id, CAST(row_number() OVER w - 1 AS INTEGER) AS page_no, jobs_found, company_id * 7 + 50 AS total FROM v_runs WINDOW w AS (PARTITION BY company_id ORDER BY started_at, run_id)),
             m AS (SELECT *, coalesce(sum(jobs_found) OVER p, 0) AS got, coalesce(max(CASE WHEN jobs_found < 20 THEN 1 ELSE 0 END) OVER p, 0) AS short FROM n WINDOW p AS (PARTITION BY company_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -123,17 +123,16 @@ def match_totals(spark, sf):
 
 
 def _details(spark, sf) -> DataFrame:
-    """Detail text per posting key, derived from the documents table."""
+    """Detail text per part, the whole text of the document of its number."""
     docs = view(prepare(spark), sf, "documents")
-    return docs.groupBy((col("doc_id") % 101).alias("company_id")).agg(
-        F.max_by("text", "doc_id").alias("detail_text")
-    )
+    return docs.select(col("doc_id").alias("part"), col("text").alias("detail_text"))
 
 
 def _enriched(spark, sf) -> DataFrame:
-    rows = distinct_postings(spark, sf)
-    details = rows.join(_details(spark, sf), "company_id").select(
-        *KEYS, F.concat(F.lit("3+ years of Kafka. "), F.substring_index("detail_text", ".", 1)).alias("description"),
+    rows = _prepared(spark, sf)
+    part = F.floor(col("seq") / 10) % 100_000
+    details = rows.withColumn("part", part).join(_details(spark, sf), "part").select(
+        *KEYS, F.concat(F.lit("3+ years of Kafka. "), "detail_text").alias("description"),
         F.lit(None).cast("string").alias("requirements"), F.lit("2024-05-01T10:00:00Z").alias("posted_at"),
     )
     return enrich_update(rows, details, KEYS, F.lit("2026-07-30").cast("timestamp"))
@@ -158,7 +157,7 @@ def alerts(spark, sf):
     gate = runs.groupBy("company_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
     scored = K.matches(rows, profiles(spark, sf))
     messages = scored.join(gate, "company_id").select(
-        "run_id", "is_match", (col("seq") % 500).alias("job_id"), col("profile_id").alias("user_id"),
+        "run_id", "is_match", col("seq").alias("job_id"), col("profile_id").alias("user_id"),
         "score", "reasoning", "matched_skills", col("title").alias("job_title"),
         F.concat(F.lit("Firm "), col("company_id")).alias("company_name"),
         F.coalesce("location_raw", F.lit("")).alias("location"), "employment_type", "remote_type",
@@ -168,7 +167,10 @@ def alerts(spark, sf):
         F.min(F.struct("url", "job_title", "score", "salary", "run_id", "location", "posted_date", "company_name",
                        "reasoning", "matched_skills", "employment_type", "remote_type", "is_match")).alias("m")
     ).select("job_id", "user_id", "m.*")
-    claims = view(prepare(spark), sf, "v_notifications")
+    notes = view(prepare(spark), sf, "v_notifications")
+    claims = rows.withColumn("order", F.floor(col("seq") / 1_000_000)).join(notes, col("order") == col("job_id")).select(
+        col("seq").alias("job_id"), (col("user_id") % 3 + 1).cast("int").alias("user_id"), "channel", "status"
+    )
     out = N.alerts(first, runs.select("run_id", "baseline"), claims, ["email", "slack", "telegram"])
     return out.select("job_id", "user_id", "channel", "subject", F.md5("text").alias("text_md5"),
                       F.md5("telegram").alias("telegram_md5"), "slack_text")
@@ -243,10 +245,10 @@ def _sql() -> dict[str, str]:
         FROM scored WHERE veto_reason IS NULL AND score_e4 >= round(threshold * 0.6 * 10000)) WHERE srn <= 25)"""
     runs = f"v_runs AS ({VIEWS['v_runs']})"
     levels = S.seniority("title", "chr(10) || d")
-    det = "'3+ years of Kafka. ' || split_part(detail_text, '.', 1)"
+    det = "'3+ years of Kafka. ' || detail_text"
     det = f"trim(regexp_replace({det}, '{S.BLANKS}', ' ', 'g'))"
-    enrich = f"""docs AS (SELECT doc_id % 101 AS company_id, arg_max(text, doc_id) AS detail_text FROM documents GROUP BY 1),
-        joined AS (SELECT f.*, {det} AS d FROM firsts f LEFT JOIN docs USING (company_id)),
+    enrich = f"""docs AS (SELECT doc_id AS part, text AS detail_text FROM documents),
+        joined AS (SELECT f.*, {det} AS d FROM firsts f LEFT JOIN docs ON part = (seq // 10) % 100000),
         enriched AS (SELECT *, CASE WHEN d IS NOT NULL AND seniority = 'unknown' THEN {levels} ELSE seniority END AS new_level FROM joined)"""
     pct = "CAST(CAST(floor(score_e4 / 100) AS INTEGER) AS VARCHAR) || '%'"
     human = {"employment_type": "CASE employment_type WHEN 'unknown' THEN 'Unknown' WHEN 'full_time' THEN 'Full Time' WHEN 'part_time' THEN 'Part Time' ELSE upper(employment_type[1]) || employment_type[2:] END",
@@ -294,12 +296,12 @@ def _sql() -> dict[str, str]:
             ok AS (SELECT company_id, min((started_at, run_id)) AS f FROM v_runs WHERE status IN ('success', 'partial') GROUP BY 1),
             lastrun AS (SELECT company_id, max((started_at, run_id)) AS l FROM v_runs GROUP BY 1),
             live AS (SELECT company_id, f, l FROM lastrun LEFT JOIN ok USING (company_id)),
-            m AS (SELECT *, seq % 500 AS job_id, coalesce(location_raw, '') AS loc,
-                  row_number() OVER (PARTITION BY seq % 500, profile_id ORDER BY url, title, score_e4, salary_raw NULLS FIRST) AS mrn FROM scored JOIN live USING (company_id) WHERE is_match),
+            m AS (SELECT *, seq AS job_id, coalesce(location_raw, '') AS loc,
+                  row_number() OVER (PARTITION BY seq, profile_id ORDER BY url, title, score_e4, salary_raw NULLS FIRST) AS mrn FROM scored JOIN live USING (company_id) WHERE is_match),
             c AS (SELECT *, unnest(['email', 'slack', 'telegram']) AS channel FROM m WHERE mrn = 1 AND f IS NOT NULL AND l > f)
             SELECT job_id, profile_id AS user_id, channel, '[' || {pct} || ' match] ' || title || ' — Firm ' || company_id AS subject,
               md5({text}) AS text_md5, md5({tele}) AS telegram_md5, title || ' at Firm ' || company_id AS slack_text
-            FROM c WHERE (job_id, profile_id, channel) NOT IN (SELECT (job_id, user_id, channel) FROM v_notifications)""",
+            FROM c WHERE (job_id, profile_id, channel) NOT IN (SELECT (seq, user_id % 3 + 1, channel) FROM v_notifications n JOIN firsts ON seq // 1000000 = n.job_id)""",
     }
 
 

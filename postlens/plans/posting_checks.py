@@ -230,7 +230,7 @@ def first_items(spark, sf):
     from postlens.functions.fields import detect_skills
 
     return raw_postings(spark, sf).select(
-        "seq", F.array_join(F.slice(detect_skills(col("title"), col("description")), 1, 1), ", ").alias("first_skill"),
+        "seq", F.array_join(F.slice(detect_skills(col("title"), col("description")), 1, 5), ", ").alias("first_skills"),
     )
 
 
@@ -311,7 +311,7 @@ def _sql() -> dict[str, str]:
         "set_operations": with_views("v_crawl") + f""", {links}, a AS (SELECT DISTINCT href FROM l WHERE page_no = 0), b AS (SELECT DISTINCT href FROM l WHERE page_no > 0)
             SELECT href, 'only_first' AS kind FROM a WHERE href NOT IN (SELECT href FROM b) UNION ALL SELECT href, 'both' FROM a WHERE href IN (SELECT href FROM b)
             UNION ALL SELECT DISTINCT href, 'later_except_first' FROM (SELECT href FROM l WHERE page_no > 0 EXCEPT ALL SELECT href FROM l WHERE page_no = 0)""",
-        "first_items": with_views("v_postings") + f""" SELECT seq, coalesce({S.skills("concat_ws(' ', title, description)")}[1], '') AS first_skill FROM v_postings""",
+        "first_items": with_views("v_postings") + f""" SELECT seq, array_to_string({S.skills("concat_ws(' ', title, description)")}[1:5], ', ') AS first_skills FROM v_postings""",
     }
 
 

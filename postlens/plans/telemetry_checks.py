@@ -184,7 +184,7 @@ def retryable(spark, sf):
 
 
 def notification_log(spark, sf):
-    posts = raw_postings(spark, sf).groupBy((col("seq") % 400).alias("job_id")).agg(
+    posts = raw_postings(spark, sf).groupBy(F.floor(col("seq") / 1_000_000).alias("job_id")).agg(
         F.min("title").alias("title"), F.min("url").alias("url")
     )
     users = _companies(spark, sf).select(col("company_id").alias("user_id"), col("name").alias("user_name"))
@@ -193,7 +193,7 @@ def notification_log(spark, sf):
 
 def unnotified(spark, sf):
     claims = raw_postings(spark, sf).select(
-        (col("seq") % 500).alias("job_id"), (col("company_id") % 60).alias("user_id"), F.lit("slack").alias("channel")
+        F.floor(col("seq") / 1_000_000).alias("job_id"), (col("company_id") % 60).alias("user_id"), F.lit("slack").alias("channel")
     )
     return N.unnotified(claims, _notes(spark, sf))
 
@@ -351,10 +351,10 @@ def _sql() -> dict[str, str]:
         "notification_filter": v("v_notifications") + """, r AS (SELECT notification_id, created_at FROM v_notifications WHERE channel = 'email' AND status = 'sent' AND created_at >= TIMESTAMP '1995-01-01')
             SELECT notification_id, created_at, (SELECT count(*) FROM r) AS total FROM r ORDER BY created_at DESC, notification_id DESC LIMIT 100""",
         "retryable": v("v_notifications") + " SELECT notification_id, attempts FROM v_notifications WHERE status = 'failed' AND attempts < 3 ORDER BY created_at, notification_id LIMIT 100",
-        "notification_log": v("v_notifications", "v_postings", "v_companies") + """, p AS (SELECT seq % 400 AS job_id, min(title) AS title, min(url) AS url FROM v_postings GROUP BY 1)
+        "notification_log": v("v_notifications", "v_postings", "v_companies") + """, p AS (SELECT seq // 1000000 AS job_id, min(title) AS title, min(url) AS url FROM v_postings GROUP BY 1)
             SELECT notification_id, title, url, name AS user_name FROM v_notifications n LEFT JOIN p USING (job_id) LEFT JOIN v_companies c ON c.company_id = n.user_id""",
-        "unnotified": v("v_notifications", "v_postings") + """ SELECT DISTINCT seq % 500 AS job_id, company_id % 60 AS user_id, 'slack' AS channel FROM v_postings p
-            WHERE NOT EXISTS (SELECT 1 FROM v_notifications n WHERE n.job_id = p.seq % 500 AND n.user_id = p.company_id % 60 AND n.channel = 'slack')""",
+        "unnotified": v("v_notifications", "v_postings") + """ SELECT DISTINCT seq // 1000000 AS job_id, company_id % 60 AS user_id, 'slack' AS channel FROM v_postings p
+            WHERE NOT EXISTS (SELECT 1 FROM v_notifications n WHERE n.job_id = p.seq // 1000000 AND n.user_id = p.company_id % 60 AND n.channel = 'slack')""",
         "already_notified": v("v_notifications") + " SELECT DISTINCT job_id, user_id, channel FROM v_notifications WHERE status <> 'failed'",
         "extraction_score": batches + """ SELECT company_id, tier, n AS jobs_found, e4 AS confidence_e4, e4 / 10000 AS confidence, CAST(round_even(1000 * (n - nl) / n, 0) AS INTEGER) AS missing_location_e3,
             concat_ws('|', CASE WHEN 2 * np < n THEN 'most titles do not read like job titles' END, CASE WHEN n >= 3 AND 2 * top > n THEN 'more than half the titles are identical' END,

@@ -207,7 +207,7 @@ def content_hash(spark, sf):
 
 def looks_like_title(spark, sf):
     docs = _documents(spark, sf).select(
-        col("doc_id").alias("id"), plausibility.looks_like_title(F.substring_index("text", ".", 1)).alias("plausible")
+        col("doc_id").alias("id"), plausibility.looks_like_title(col("text")).alias("plausible")
     )
     posts = raw_postings(spark, sf).select(
         col("seq").alias("id"), plausibility.looks_like_title(col("title")).alias("plausible")
@@ -351,10 +351,10 @@ def _sql() -> dict[str, str]:
               SELECT conv_id * 1000 + turn + 1000000000, text FROM conversations),
             s AS (SELECT doc_id, array_to_string({S.skills('text')}, '|') AS skills FROM t) SELECT doc_id, skills FROM s WHERE skills <> ''""",
         "content_hash": f"{S.posting_ctes()} SELECT seq, content_hash FROM postings",
-        "looks_like_title": f"""{v('v_postings')} SELECT id, {plausible} AS plausible FROM (SELECT doc_id AS id, split_part(text, '.', 1) AS x FROM documents
+        "looks_like_title": f"""{v('v_postings')} SELECT id, {plausible} AS plausible FROM (SELECT doc_id AS id, text AS x FROM documents
             UNION ALL SELECT seq AS id, title AS x FROM v_postings)""",
         "page_flags": f"""SELECT page_id, {_marks('lower(html)', V.SPA_MARKERS)} AND {volume} < 2000 AS spa,
-            {_marks('substring(lower(html), 1, 20000)', V.BLOCK_MARKERS)} OR ({_marks('lower(html)', V.WEAK_BLOCK_MARKERS)} AND {volume} < 2000) AS blocked,
+            {_marks('lower(html)', V.BLOCK_MARKERS)} OR ({_marks('lower(html)', V.WEAK_BLOCK_MARKERS)} AND {volume} < 2000) AS blocked,
             CAST({volume} AS INTEGER) AS volume FROM pages""",
         "infer_name": f"""SELECT page_id, array_to_string(list_transform(string_split(replace(regexp_extract(regexp_replace({S.host('url')}, '^www\\.', ''), '^([^.]+)', 1), '-', ' '), ' '),
             lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM pages""",

@@ -65,7 +65,7 @@ SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq,
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey""",
     "v_notifications": """
-SELECT o_orderkey AS notification_id, o_orderkey % 500 AS job_id, o_custkey % 50 AS user_id,
+SELECT o_orderkey AS notification_id, o_orderkey AS job_id, o_custkey % 50 AS user_id,
   CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'email' WHEN '2' THEN 'resend' WHEN '3' THEN 'slack' ELSE 'telegram' END AS channel,
   CASE o_orderstatus WHEN 'F' THEN 'sent' WHEN 'O' THEN 'failed' ELSE 'pending' END AS status,
   CAST(o_custkey % 5 AS INT) AS attempts, o_orderdate AS created_at
