@@ -87,7 +87,8 @@ def duration_histogram(
 ) -> DataFrame:
     """Cumulative bucket counts per label, plus count and sum."""
     counts = [F.count_if(seconds <= b).alias(f"le_{b:g}".replace(".", "_")) for b in buckets]
-    return runs.groupBy(label).agg(*counts, F.count(F.lit(1)).alias("n"))
+    micros = F.sum(F.rint(seconds * 1_000_000).cast("long"))     # whole, so that the order of addition does not show
+    return runs.groupBy(label).agg(*counts, F.count(F.lit(1)).alias("n"), (micros / 1_000_000).alias("total_seconds"))
 
 
 def usage_tally(runs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlens.functions import fixed_values as V
+from postlens.functions import fixed_values as V, labels
 from postlens.operators import pages as G
 from postlens.plans import sql as S
 from postlens.plans.sources import spread
@@ -116,6 +116,38 @@ def platform_detect(spark, sf):
     return G.platform_detect(_pages(spark, sf)).select("page_id", "platform", "confidence", "evidence")
 
 
+def board_tokens(spark, sf):
+    """Pages under addresses of hosted boards, or with a board's script in them, and the token of the board."""
+    n = col("page_id").cast("string")
+    boards = F.array(
+        F.concat(F.lit("https://boards.greenhouse.io/acme"), n, F.lit("/jobs/7")), F.concat(F.lit("https://jobs.lever.co/firm."), n),
+        F.concat(F.lit("https://jobs.ashbyhq.com/org-"), n, F.lit("?x=1")), col("url"),
+    )
+    script = F.concat(F.lit('<script src="https://boards.greenhouse.io/embed/job_board/js?for=emb'), n, F.lit('"></script>'))
+    moved = _pages(spark, sf).withColumns({
+        "html": F.when(col("page_id") % 4 == 3, F.concat("html", script)).otherwise(col("html")),
+        "url": F.element_at(boards, (col("page_id") % 4 + 1).cast("int")),
+    })
+    return G.platform_detect(moved).select("page_id", "platform", "board_token", "confidence")
+
+
+def model_answers(spark, sf):
+    """Documents as answers of a model: fenced, bare and inside other text, or without JSON; the text is read back."""
+    body = F.to_json(F.struct(col("doc_id").alias("n"), F.array(col("lang"), col("source")).alias("tags")))
+    fence = F.lit("```")
+    answer = F.element_at(F.array(
+        F.concat(F.lit("Sure:\n"), fence, F.lit("json\n"), body, F.lit("\n"), fence, F.lit("\nbye")), body,
+        F.concat(F.lit("so it is "), body, F.lit(" .")), F.regexp_replace("text", r"[\[\]{}`0-9]", "x"),
+    ), (col("doc_id") % 4 + 1).cast("int"))
+    docs = spread(view(prepare(spark), sf, "documents"))
+    parsed = docs.select("doc_id", labels.model_json(answer).alias("v"))
+    read = parsed.select(
+        "doc_id", F.try_variant_get("v", "$.n", "bigint").alias("n"),
+        labels.as_text_list(F.try_variant_get("v", "$.tags", "array<string>")).alias("tags"),
+    )
+    return read.select("doc_id", "n", F.array_join("tags", "|").alias("tags"))
+
+
 def robots_allow(spark, sf):
     """Rules per host made from the first words of its pages; every link is judged."""
     crawl = spread(view(prepare(spark), sf, "v_crawl"))
@@ -137,6 +169,7 @@ QUERIES = {
     "select_records_path": select_records_path, "collapse_by_url": collapse_by_url,
     "selector_ladder": selector_ladder, "builtin_selector_ladder": builtin_selector_ladder,
     "stored_selectors": stored_selectors, "stored_attempts": stored_attempts, "selector_faults": selector_faults,
+    "board_tokens": board_tokens, "model_answers": model_answers,
     "assemble_pages": assemble_pages, "platform_detect": platform_detect,
     "robots_allow": robots_allow, "listing_region": listing_region,
 }
@@ -177,6 +210,10 @@ def _sql() -> dict[str, str]:
         "stored_attempts": stored + """ SELECT k.page_id, CAST(2 AS BIGINT) AS version, CASE WHEN k.kind IN (1, 3, 5) THEN 'xpath' ELSE 'css_selector' END AS tier,
             count(f.url) AS jobs_found FROM k LEFT JOIN f USING (page_id) GROUP BY ALL""",
         "selector_faults": with_views("v_site_selectors") + """ SELECT website, CAST(version AS BIGINT) AS version, unnest(CASE WHEN container = 'li[[[broken' THEN ['container'] WHEN location = 'span::before' THEN ['location'] ELSE [] END) AS field FROM v_site_selectors""",
+        "board_tokens": """SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'greenhouse' END AS platform,
+            CASE page_id % 4 WHEN 0 THEN 'acme' WHEN 1 THEN 'firm.' WHEN 2 THEN 'org-' ELSE 'emb' END || page_id AS board_token,
+            CAST(CASE page_id % 4 WHEN 3 THEN 0.85 ELSE 0.95 END AS DOUBLE) AS confidence FROM pages""",
+        "model_answers": """SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN doc_id END AS n, CASE WHEN doc_id % 4 < 3 THEN lang || '|' || source END AS tags FROM documents""",
         "assemble_pages": with_views("v_crawl") + """, n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS no FROM v_crawl),
             l AS (SELECT host, no, page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM n),
             s AS (SELECT host, u, min(no) AS no FROM l GROUP BY ALL), f AS (SELECT host, no, count(*) AS n_fresh FROM s GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlens.functions import fixed_values as V
 from postlens.operators import common, notifications as N, selectors as L, telemetry as T
-from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
+from postlens.operators.extraction import acceptable, extraction_score, ladder_choice, should_regenerate
 from postlens.operators.prices import price_lookup
 from postlens.plans.sources import raw_postings, spread
 from postlens.plans.views import view, with_views
@@ -142,6 +142,12 @@ def selector_health(spark, sf):
     return L.selector_health(attempts)
 
 
+def regenerate(spark, sf):
+    """Websites whose number ends in 0 or 5 have no stored selector."""
+    stored = selector_health(spark, sf).filter(~col("website").rlike(r"[05]\.example"))
+    return should_regenerate(_companies(spark, sf), stored)
+
+
 def selector_success_rate(spark, sf):
     return L.selector_success_rate(_attempts(spark, sf))
 
@@ -258,7 +264,7 @@ QUERIES = {
     "duration_histogram": duration_histogram, "event_counters": event_counters,
     "usage_tally": usage_tally, "run_close": run_close, "first_scan_flag": first_scan_flag,
     "schedule_next": schedule_next, "daily_spend": daily_spend, "breaker_episodes": breaker_episodes,
-    "politeness_audit": politeness_audit, "selector_health": selector_health,
+    "politeness_audit": politeness_audit, "selector_health": selector_health, "should_regenerate": regenerate,
     "selector_success_rate": selector_success_rate, "degraded_selectors": degraded_selectors,
     "relearn_candidates": relearn_candidates, "next_version": next_version,
     "selector_versions": selector_versions, "pruned_versions": pruned_versions,
@@ -313,7 +319,7 @@ def _sql() -> dict[str, str]:
               (SELECT round_even(count(*) FILTER (status = 'sent') / nullif(count(*), 0), 4) FROM n) AS success_rate, (SELECT count(*) FROM r) AS runs, (SELECT CAST(coalesce(sum(jobs_found), 0) AS BIGINT) FROM r) AS jobs_found""",
         "portal_totals": v("v_runs") + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY started_at DESC, run_id DESC) AS rn FROM v_runs) WHERE rn = 1)
             SELECT count(*) FILTER (jobs_found > 0) AS portals_with_jobs, count(*) AS portals_scanned, CAST(sum(jobs_found) AS BIGINT) AS found, CAST(sum(jobs_new) AS BIGINT) AS new, CAST(sum(llm_calls) AS BIGINT) AS model_calls FROM l""",
-        "duration_histogram": v("v_runs", "v_companies") + f" SELECT ats_type, {buckets}, count(*) AS n FROM v_runs JOIN v_companies USING (company_id) GROUP BY 1",
+        "duration_histogram": v("v_runs", "v_companies") + f" SELECT ats_type, {buckets}, count(*) AS n, CAST(sum(total_ms) AS BIGINT) / 1000 AS total_seconds FROM v_runs JOIN v_companies USING (company_id) GROUP BY 1",
         "event_counters": v("v_runs", "v_companies", "v_notifications") + """ SELECT ats_type, extraction_tier, status, count(*) AS n FROM v_runs JOIN v_companies USING (company_id) GROUP BY ALL
             UNION ALL SELECT 'notification', channel, status, count(*) FROM v_notifications GROUP BY ALL""",
         "usage_tally": v("v_runs") + " SELECT company_id, CAST(sum(llm_calls) AS BIGINT) AS calls, sum(llm_cost_e4) / 10000 AS cost_usd FROM v_runs GROUP BY 1",
@@ -374,3 +380,6 @@ def _sql() -> dict[str, str]:
 
 
 SQL = _sql()
+SQL["should_regenerate"] = with_views("v_companies") + f""", h AS ({SQL["selector_health"]})
+    SELECT DISTINCT c.website, coalesce(h.consecutive_failures >= {V.RELEARN_AFTER_FAILURES}, true) AS regenerate
+    FROM v_companies c LEFT JOIN h ON h.website = c.website AND NOT regexp_matches(h.website, '[05]\\.example')"""
