@@ -6,16 +6,21 @@ reaches a threshold.  Equal sets are one class from the start, so copies never m
 1. One pass counts shingles in a fixed-size sketch, which gives every task the same global order, rare
    shingles first (any fixed order is exact; a good one is fast).
 2. Linked sets share a shingle among the first ``n - ceil(t n) + 1`` of either.  These prefixes form
-   inverted lists, one entry (shingle, set, position) each.  Every list names as pivot its entry with
-   the smallest position; sets with a common pivot are joined together, in blocks of bounded size.
-3. A block is joined exactly.  Its lists are kept in the order of set size; the part with too small
-   sets is skipped at once, then the entries whose position leaves too few shingles.  The answers of
-   one set bound those of a similar one: |y n z| lies between |x n z| - |x \\ y| and |x n z| + |y \\ x|,
-   so most pairs of near copies are settled without looking at them, and pairs that are already
-   connected are skipped.
-
-Lists that may be longer than ``LONG`` (by the sketch) find their pivot by an aggregate and a join, so
-no list has to fit into a task.  No link between different sets is lost.
+   inverted lists, one entry (shingle, set, position) each, in the order of set size; parts with too
+   small sets are skipped at once, then entries whose position leaves too few shingles.  Every list
+   names as pivot its entry with the smallest position.
+3. Sets are compared by signatures first: the parity of their shingles in 2^k fields.  Two signatures
+   differ in at most as many fields as the sets do in shingles, so a pair that is too far apart is
+   dropped without its sets; only sets of pairs that remain are fetched.
+4. Each set is compared with its pivots.  Sets of a pivot that are then connected need no pair; only
+   those outside the largest class of a pivot are joined with the rest, in blocks of bounded size.
+5. A block is joined exactly.  The answers of one set bound those of a similar one: |y n z| lies between
+   |x n z| - |x \\ y| and |x n z| + |y \\ x|, so most pairs of near copies are settled without looking
+   at them, and pairs that are already connected are skipped.
+
+Lists that may be longer than ``LONG`` by the sketch are counted; those that are find their pivots by an
+aggregate and a join, one for each two neighbouring bands of set size, so no list has to fit into a
+task.  No link between different sets is lost.
 
 A text with fewer words than a shingle is one shingle; a null text or one without words has an empty
 set and links with nothing.  A null id belongs to its class but names none: a component of null ids
@@ -38,9 +43,10 @@ from postlens.llm.common import (
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
-LONG = 5000            # entries; longer lists are handled by joins
+LONG = 5000            # entries; longer lists are handled by joins, whatever their length is
 PART = 256             # entries; in longer parts of a list every entry stays a candidate
 CHUNK = 140            # sets of a side of a block
+SLICE = 280            # sets compared with a pivot at a time
 _U = np.uint64
 
 
@@ -71,6 +77,36 @@ def set_key(fp: str) -> int:
     return int(fp[:12], 16)
 
 
+def signature(own: np.ndarray, num: int, den: int) -> bytes:
+    """Parity of a set's items in 2^k fields, k by its size; halves fold onto the signature of k - 1."""
+    room = 8 * len(own) * (den - num) // (den + num)
+    k = max(6, room.bit_length())
+    return np.packbits((np.bincount((own >> _U(64 - k)).astype(np.int64), minlength=1 << k) & 1).astype(bool)).tobytes()
+
+
+def folded(sig: np.ndarray) -> np.ndarray:
+    """A signature (bytes) with half as many fields."""
+    bits = np.unpackbits(sig).reshape(-1, 2)
+    return np.packbits(bits[:, 0] ^ bits[:, 1])
+
+
+def fields_apart(a: bytes, b: bytes) -> int:
+    """In how many fields two signatures differ: never more than the sets' symmetric difference."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = folded(x)
+    while len(y) > len(x):
+        y = folded(y)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def may_reach(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
+    """Whether sets of sizes n and m with these signatures can link."""
+    if num * max(n, m) > den * min(n, m):
+        return False
+    return fields_apart(a, b) <= n + m - 2 * least_overlap(n, m, num, den)
+
+
 def profile(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n_shingles, fp) of every row, and the sketch of shingle counts of all rows."""
     def run(batches):
@@ -130,21 +166,27 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFrame:
-    """(token, set, n, pos, long): the prefix entries of every set, once per task and set."""
+    """(token, set, n, pos, long, sig): the prefix entries of every set, once per task and set.
+
+    The first entry of a set carries its signature.
+    """
+    longest = LONG
+
     def run(batches):
         counts, seen = sketch.value, set()
-        tokens, sets, places, sizes = [], [], [], []
+        tokens, sets, places, sizes, sigs = [], [], [], [], []
 
         def flush():
             token = np.concatenate(tokens)
             lengths = [len(t) for t in tokens]
-            heavy = counts[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)] >= LONG
+            first = [x for sig, k in zip(sigs, lengths) for x in (sig, *[None] * (k - 1))]
+            heavy = counts[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)] >= longest
             out = pa.RecordBatch.from_arrays([
                 pa.array(token.view(np.int64)), pa.array(np.repeat(np.array(sets, np.int64), lengths)),
                 pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
-                pa.array(np.concatenate(places).astype(np.int32)), pa.array(heavy),
-            ], ["token", "set", "n", "pos", "long"])
-            for x in (tokens, sets, places, sizes):
+                pa.array(np.concatenate(places).astype(np.int32)), pa.array(heavy), pa.array(first, pa.binary()),
+            ], ["token", "set", "n", "pos", "long", "sig"])
+            for x in (tokens, sets, places, sizes, sigs):
                 x.clear()
             return out
 
@@ -159,12 +201,13 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int, sketch) -> DataFram
             sets.append(set_key(fp))
             places.append(np.arange(len(first)))
             sizes.append(len(own))
+            sigs.append(signature(own, num, den))
             if len(tokens) == 500:
                 yield flush()
         if tokens:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, set long, n int, pos int, long boolean")
+    return docs.select("text").mapInArrow(run, "token long, set long, n int, pos int, long boolean, sig binary")
 
 
 def may_link(n: np.ndarray, room: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -217,29 +260,184 @@ def short_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
     ).mapInArrow(run, "pivot long, set long")
 
 
-def long_lists(entries: DataFrame) -> DataFrame:
-    """(pivot, set) from lists of any length."""
-    best = entries.groupBy("token").agg(
+def long_lists(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, set) from lists of any length: a pivot for each two neighbouring bands of set size.
+
+    Sizes of one band, or of two that follow each other, hold all that can link.
+    """
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    each = entries.select("token", "set", "pos", F.explode(F.array(band, band - 1)).alias("band"))
+    best = each.groupBy("token", "band").agg(
         F.min(F.shiftleft(F.least("pos", F.lit(32767)).cast("long"), 48) + F.col("set")).alias("best"),
         F.min("set").alias("low"), F.max("set").alias("high"),
     ).where("low != high")
-    return entries.join(best, "token").select(F.expr("best & 281474976710655").alias("pivot"), "set")
+    return each.join(best, ["token", "band"]).select(F.expr("best & 281474976710655").alias("pivot"), "set")
+
+
+def pivot_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(pivot, set): all sets that may link share a pivot."""
+    maybe = entries.where("long").select("token", "set", "n", "pos")
+    short = entries.where("not long").select("token", "set", "n", "pos")
+    if maybe.isEmpty():
+        return short_lists(short, num, den).distinct()
+    counted = written(maybe.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") >= LONG), "long-lists")
+    short = short.union(maybe.join(counted, "token", "left_anti"))
+    return short_lists(short, num, den).union(
+        long_lists(maybe.join(counted, "token", "left_semi"), num, den)
+    ).distinct()
+
+
+def star(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, set, pivot): slices of the sets that may link with a pivot, and the pivot in each of them."""
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n", "sig", "pivot_n", "pivot_sig")]
+            keep = pa.array([may_reach(*x, num, den) for x in zip(*columns)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pivot").filter(keep), batch.column("set").filter(keep)], ["pivot", "set"]
+            )
+
+    own = signatures.select(F.col("set").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sig").alias("pivot_sig"))
+    both = pairs.where("pivot != set").join(signatures, "set").join(own, "pivot")
+    near = written(both.mapInArrow(run, "pivot long, set long").distinct(), "near")
+    sizes = near.groupBy("pivot").agg(F.ceil(F.count("*") / SLICE).alias("slices"))
+    sliced = near.join(sizes, "pivot").select(
+        F.xxhash64("pivot", F.pmod(F.xxhash64("set"), F.col("slices"))).alias("block"), "pivot", "set"
+    )
+    heads = sliced.select("block", F.col("pivot").alias("set"), F.lit(True).alias("pivot")).distinct()
+    return sliced.select("block", "set", F.lit(False).alias("pivot")).union(heads)
+
+
+def star_links(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): fingerprints of sets that link with their pivot."""
+    rows = blocks.join(sets, "set").select("block", "pivot", "fp", "items")
+    rows = rows.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", F.desc("pivot"), "fp")
+
+    def run(batches):
+        key, heads, out = None, {}, []
+        for batch in batches:
+            for block, pivot, fp, items in zip(*(batch.column(c).to_pylist() for c in ("block", "pivot", "fp", "items"))):
+                if block != key:
+                    key, heads = block, {}
+                own = np.frombuffer(items, _U)
+                if pivot:
+                    heads[fp] = own
+                    continue
+                for other, head in heads.items():
+                    if other == fp or num * max(len(own), len(head)) > den * min(len(own), len(head)):
+                        continue
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    if both >= least_overlap(len(own), len(head), num, den):
+                        out.append((other, fp))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b"])
+                out = []
+
+    return rows.mapInArrow(run, "a string, b string")
 
 
-def groups(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(pivot, set, a, b, side): blocks of sets that must be joined with each other."""
-    pairs = short_lists(entries.where("not long"), num, den).union(long_lists(entries.where("long"))).distinct()
-    pairs = written(pairs, "groups")
-    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("n"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("long")
-    split = pairs.join(sizes, "pivot").withColumn("chunks", chunks).withColumn(
-        "side", F.pmod(F.xxhash64("set"), F.col("chunks"))
+def open_blocks(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(block, set, root, side, whole): sets outside the largest class of a pivot, to be joined with all its others."""
+    key = F.conv(F.substring("node", 1, 12), 16, 10).cast("long")
+    named = roots.select(key.alias("set"), "root")
+    members = written(pairs.join(named, "set", "left").select(
+        "pivot", "set", F.coalesce("root", F.col("set").cast("string")).alias("root")
+    ), "members")
+    classes = members.groupBy("pivot", "root").agg(F.count("*").alias("k"))
+    # a pivot and one more set have met already
+    sizes = written(classes.groupBy("pivot").agg(
+        F.max_by("root", F.struct("k", "root")).alias("major"), F.max("k").alias("in_major"), F.sum("k").alias("n"),
+    ).where("n > in_major and n > 2"), "open")
+    rows = members.join(sizes, "pivot").select(
+        "pivot", "set", "root", (F.col("root") == F.col("major")).alias("major"),
+        F.ceil((F.col("n") - F.col("in_major")) / CHUNK).cast("long").alias("minor_chunks"),
+        F.ceil(F.col("in_major") / CHUNK).cast("long").alias("major_chunks"),
     )
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
-    return split.select("pivot", "set", "side", other).select(
-        "set", "side", F.xxhash64("pivot", F.least("side", "other"), F.greatest("side", "other")).alias("block"),
-        (F.col("side") == F.col("other")).alias("whole"),
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).alias("other")
+    minor = rows.where("not major").withColumn("side", F.pmod(F.xxhash64("set"), F.col("minor_chunks")))
+    major = rows.where("major").withColumn("side", F.pmod(F.xxhash64("set"), F.col("major_chunks")))
+    inside = minor.select("pivot", "set", "root", "side", upto("minor_chunks")).select(
+        F.xxhash64("pivot", F.lit(0), F.least("side", "other"), F.greatest("side", "other")).alias("block"),
+        "set", "root", "side", (F.col("side") == F.col("other")).alias("whole"),
     )
+    across = [
+        rows_.select("pivot", "set", "root", "side", upto(chunks)).select(
+            F.xxhash64("pivot", F.lit(1), *pair).alias("block"), "set", "root", F.lit(side).cast("long").alias("side"),
+            F.lit(False).alias("whole"),
+        )
+        for rows_, chunks, pair, side in (
+            (minor, "major_chunks", ("side", "other"), 0), (major, "minor_chunks", ("other", "side"), 1),
+        )
+    ]
+    return inside.union(across[0]).union(across[1])
+
+
+def near_rows(sets: list[tuple], num: int, den: int) -> list[int]:
+    """Rows (root, side, whole, n, sig) of a block that by their signatures may link with another one."""
+    whole = any(s[2] for s in sets)
+    by: dict[int, list[int]] = {}
+    shapes: dict[tuple[int, int], np.ndarray] = {}
+    for i, s in enumerate(sets):
+        sig = np.frombuffer(s[4], np.uint8)
+        by.setdefault(len(sig), []).append(i)
+        shapes[i, len(sig)] = sig
+    levels, keep = sorted(by), set()
+    for k, low in enumerate(levels):
+        for high in levels[k:]:
+            if high * num > 4 * low * den:
+                break
+            for i in by[high]:
+                sig = shapes[i, high]
+                while len(sig) > low:
+                    sig = folded(sig)
+                shapes[i, low] = sig
+            few = np.array(by[low])
+            lower = np.stack([shapes[i, low] for i in few])
+            n = np.array([sets[i][3] for i in few], np.int64)
+            roots, sides = np.array([sets[i][0] for i in few]), np.array([sets[i][1] for i in few])
+            for i in by[high]:
+                m = sets[i][3]
+                fits = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (roots != sets[i][0])
+                if not whole:
+                    fits &= sides != sets[i][1]
+                fits &= few != i
+                at = np.flatnonzero(fits)
+                if len(at):
+                    apart = np.bitwise_count(lower[at] ^ shapes[i, low]).sum(1, dtype=np.int64)
+                    at = at[apart <= n[at] + m - 2 * -(-num * (n[at] + m) // (num + den))]
+                if len(at):
+                    keep.add(i)
+                    keep.update(few[at].tolist())
+    return sorted(keep)
+
+
+def near_blocks(blocks: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``open_blocks`` that by their signatures may link with another one of their block."""
+    names = ["block", "set", "root", "side", "whole", "n", "sig"]
+    rows = blocks.join(signatures, "set").select(*names)
+    rows = rows.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block")
+
+    def close(key, held):
+        kept = [held[i] for i in near_rows([(h[1], h[2], h[3], h[4], h[5]) for h in held], num, den)]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key] * len(kept), pa.int64()), *(pa.array([h[c] for h in kept], t) for c, t in enumerate(kinds))],
+            names[:5],
+        )
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if block != key and held:
+                    yield close(key, held)
+                    held = []
+                key = block
+                held.append(row)
+        if held:
+            yield close(key, held)
+
+    return rows.mapInArrow(run, "block long, set long, root string, side long, whole boolean")
 
 
 def wanted_sets(docs: DataFrame, size: int, bits) -> DataFrame:
@@ -276,10 +474,10 @@ def least_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (num + den))
 
 
-def join_block(sets: list[np.ndarray], sides: list[int], whole: bool, num: int, den: int) -> list[tuple[int, int]]:
+def join_block(sets: list[np.ndarray], sides: list[int], whole: bool, num: int, den: int, classes=None) -> list[tuple[int, int]]:
     """Pairs of links that connect whatever the links of the block connect.
 
-    ``whole``: all pairs count, otherwise those of different sides.
+    ``whole``: all pairs count, otherwise those of different sides.  Sets of one class are connected already.
     """
     if len(sets) == 2:
         a, b = sets
@@ -293,6 +491,9 @@ def join_block(sets: list[np.ndarray], sides: list[int], whole: bool, num: int,
     vocabulary, where, counts = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     bounds = np.cumsum([0, *sizes])
     parent = list(range(len(order)))
+    if classes is not None:
+        first: dict = {}
+        parent = [first.setdefault(classes[i], k) for k, i in enumerate(order)]
 
     def root(i):
         while parent[i] != i:
@@ -363,28 +564,31 @@ def join_block(sets: list[np.ndarray], sides: list[int], whole: bool, num: int,
 
 def linked(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): fingerprints of linked sets, enough of them to connect every component."""
-    rows = blocks.join(sets, "set").select("block", "side", "whole", "fp", "items")
+    rows = blocks.join(sets, "set").select("block", "side", "whole", "root", "fp", "items")
     n = partitions(blocks.sparkSession)
     rows = rows.repartition(n, "block").sortWithinPartitions("block", "fp")
 
     def run(batches):
-        key, names, sets_, sides, whole = None, [], [], [], False
+        key, names, sets_, sides, roots, whole = None, [], [], [], [], False
 
         def close():
-            got = join_block(sets_, sides, whole, num, den) if len(names) > 1 else []
+            got = join_block(sets_, sides, whole, num, den, roots) if len(names) > 1 else []
             return [(names[i], names[j]) for i, j in got]
 
         out = []
         for batch in batches:
-            for block, side, all_pairs, fp, items in zip(*(batch.column(c).to_pylist() for c in ("block", "side", "whole", "fp", "items"))):
+            for block, side, all_pairs, root, fp, items in zip(
+                *(batch.column(c).to_pylist() for c in ("block", "side", "whole", "root", "fp", "items"))
+            ):
                 if block != key:
                     out += close()
-                    key, names, sets_, sides, whole = block, [], [], [], False
+                    key, names, sets_, sides, roots, whole = block, [], [], [], [], False
                 whole = whole or all_pairs
                 if not names or names[-1] != fp:
                     names.append(fp)
                     sets_.append(np.frombuffer(items, _U))
                     sides.append(side)
+                    roots.append(root)
         out += close()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b"])
@@ -398,10 +602,22 @@ def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100)
     rows, counts = profile(docs, size)
     sketch = spark.sparkContext.broadcast(counts)
     entries = written(prefixes(docs, size, num, den, sketch), "prefixes")
-    blocks = written(groups(entries, num, den), "blocks")
-    bits = spark.sparkContext.broadcast(key_bits(blocks.select("set").distinct(), "set"))
-    links = written(linked(blocks, wanted_sets(docs, size, bits), num, den), "links")
+    pairs = written(pivot_pairs(entries, num, den), "pairs")
+    wanted = pairs.select("set").distinct()
+    signatures = entries.where("sig is not null").select("set", "n", "sig").join(wanted, "set", "left_semi")
+    signatures = written(signatures.distinct(), "signatures")
+
+    def fetched(blocks):
+        bits = spark.sparkContext.broadcast(key_bits(blocks.select("set").distinct(), "set"))
+        return wanted_sets(docs, size, bits)
+
+    blocks = written(star(pairs, signatures, num, den), "stars")
+    links = written(star_links(blocks, fetched(blocks), num, den), "star-links")
     roots = components(links)
+    rest = written(near_blocks(open_blocks(pairs, roots), signatures, num, den), "blocks")
+    if not rest.isEmpty():
+        links = links.union(written(linked(rest, fetched(rest), num, den), "links"))
+        roots = components(links)
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")

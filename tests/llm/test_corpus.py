@@ -50,7 +50,16 @@ def test_bpe_equals_library(spark):
     assert bpe.encoded(docs(spark, []), path, ["doc_id"]).count() == 0
 
 
-def test_jaccard_components(spark, texts):
+@pytest.mark.parametrize("bounds", [None, (2, 2, 2)])
+def test_jaccard_components(spark, texts, bounds, monkeypatch):
+    for name, k in zip(("LONG", "CHUNK", "SLICE"), bounds or ()):
+        monkeypatch.setattr(jaccard, name, k)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    for k in range(24):        # chains: near its neighbours, far from most others
+        base = base[:]
+        base[rng.randrange(200)] = f"edit{k}"
+        texts = [*texts, (200 + k, " ".join(base))]
     def shingles(t):
         w = (t or "").encode().lower().split()
         return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
@@ -73,6 +82,19 @@ def test_jaccard_components(spark, texts):
     assert jaccard.similar_sets(docs(spark, [])).count() == 0
 
 
+def test_signatures_never_part_sets_that_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 700, 5000):
+        for num, part in ((90, 0.04), (80, 0.1), (90, 0.2), (80, 0.4)):
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.append(a[rng.random(len(a)) > part], rng.integers(0, 2**64, int(part * n), np.uint64)))
+            apart = jaccard.fields_apart(jaccard.signature(a, num, 100), jaccard.signature(b, num, 100)) if len(b) else 0
+            assert apart <= len(np.setxor1d(a, b))
+            if len(b) and 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                rows = [("x", 0, True, len(a), jaccard.signature(a, num, 100)), ("y", 0, True, len(b), jaccard.signature(b, num, 100))]
+                assert jaccard.near_rows(rows, num, 100) == [0, 1]
+
+
 def test_block_join_finds_all_connections():
     rng = np.random.default_rng(2)
     base = np.arange(200, dtype=np.uint64)
