@@ -11,6 +11,9 @@ window must stand in the document as a whole; items of fewer than ``FEWEST`` tok
 Tokens are runs of letters and digits, lower case.  Everything is DataFrame work.  Benchmark seeds are
 broadcast only after their number has been checked and join by a shuffle otherwise.
 
+Only texts with a hit move: a bit map of the hit rows' keys (2 MB at most) meets the texts where they
+are.  A row is told by its id and its text, so rows of one id are judged one by one.
+
 Null or empty texts and items match nothing.  A null id is a value: its pair is reported with a null id.
 Repeated rows give one pair; ties don't occur; an empty table gives an empty result; extra columns,
 also of clashing names, are ignored.  Whole texts are searched.
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.llm.common import written
+from postlens.llm.common import BITMAP_BITS, written
 
 MASKS = ((0, 1, 2, 3), (0, 1, 4, 5))
 STRIDE = 3
@@ -64,6 +67,26 @@ def exploded(rows: DataFrame, ident: str, words: Column, stride: int) -> DataFra
     return each
 
 
+def row_key() -> Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` (with ``key``) and ``mark``: whether the bit of the key is set by a key of ``marks``.
+
+    The map is a table of at most 512 rows of 4 kB, so it is broadcast.  It may mark other rows too.
+    """
+    spot = F.pmod(F.col("key"), F.lit(BITMAP_BITS)) + 1
+    bits = marks.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")
+    )
+    placed = rows.withColumns({"at": F.bitmap_bit_position(spot), "bucket": F.bitmap_bucket_number(spot)})
+    byte = "cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int)"
+    mark = F.expr(f"coalesce(shiftright({byte}, cast(at % 8 as int)) & 1 = 1, false)")
+    return placed.join(F.broadcast(bits), "bucket", "left").select(*rows.columns, mark.alias("mark"))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, words, n: items that can be evidence, each once."""
     words = F.filter(tokens(F.col("text")), lambda w: w != "")
@@ -89,13 +112,14 @@ def item_seeds(items: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, shift): where a seed of an item stands in a document."""
+    """(key, doc_id, item_id, shift): where a seed of an item stands in a row of (key, doc_id, text)."""
     own = written(item_seeds(items), "seeds")
     if own.count() <= BROADCAST_SEEDS:
         own = F.broadcast(own)
-    found = exploded(docs.select("doc_id", "text"), "doc_id", tokens(F.col("text")), STRIDE)
+    rows = docs.select(F.struct("key", "doc_id").alias("row"), "text")
+    found = exploded(rows, "row", tokens(F.col("text")), STRIDE)
     return found.join(own, "seed").select(
-        "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")
+        "row.key", "row.doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")
     ).distinct()
 
 
@@ -113,26 +137,38 @@ def overlap(words: Column, item: Column, n: Column, shift: Column) -> Column:
     return F.element_at(F.transform(F.array(same), best), 1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched: pairs with the tokens matched in the best window."""
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, doc_id, item_id, matched: contaminated rows with the tokens matched in the best window."""
     items = written(items_of(benchmark), "items")
-    found = written(hits(docs, items), "hits").alias("h")
-    items, texts = items.alias("i"), docs.select("doc_id", "text").alias("d")
+    rows = docs.select(row_key().alias("key"), "doc_id", "text")
+    hit = written(hits(rows, items), "hits")
+    found, items = hit.alias("h"), items.alias("i")
+    texts = with_marks(rows, hit).where("mark").alias("d")
     laid = found.join(items, F.col("h.item_id").eqNullSafe(F.col("i.item_id"))).select(
-        "h.doc_id", "h.item_id", "h.shift", "i.item_words", "i.n"
+        "h.key", "h.doc_id", "h.item_id", "h.shift", "i.item_words", "i.n"
     ).alias("p")
-    compared = texts.join(laid, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select(
-        "p.doc_id", "p.item_id", "n",
+    same = (F.col("d.key") == F.col("p.key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
+    compared = texts.join(laid, same).select(
+        "p.key", "p.doc_id", "p.item_id", "n",
         overlap(tokens(F.col("d.text")), F.col("p.item_words"), F.col("p.n"), F.col("p.shift")).alias("matched"),
     )
     enough = F.when(F.col("n") >= WINDOW, WINDOW - SUBSTITUTIONS).otherwise(F.col("n"))
-    return compared.where(F.col("matched") >= enough).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
+    return compared.where(F.col("matched") >= enough).groupBy("key", "doc_id", "item_id").agg(F.max("matched").alias("matched"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, matched: pairs with the tokens matched in the best window."""
+    return matches(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a contaminated pair, all columns."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The rows without a contaminated pair, all columns."""
+    bad = written(matches(docs, benchmark).select("key", "doc_id").distinct(), "contaminated").alias("b")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key().alias("key"))
+    rows = with_marks(rows, bad)
+    same = (F.col("r.key") == F.col("b.key")) & F.col("r.row.doc_id").eqNullSafe(F.col("b.doc_id"))
+    kept = rows.where("mark").alias("r").join(bad, same, "left_anti")
+    return rows.where("not mark").select("row.*").union(kept.select("row.*"))
 
 
 SQL = rf"""

@@ -35,7 +35,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.llm.common import (
     components, has_bit, key_bits, mix, partitions, shingle_hashes, slices, small_batches, utf8, word_hashes, written,
@@ -107,28 +107,35 @@ def may_reach(n: int, a: bytes, m: int, b: bytes, num: int, den: int) -> bool:
     return fields_apart(a, b) <= n + m - 2 * least_overlap(n, m, num, den)
 
 
+def row_id() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def profile(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, fp) of every row, and the sketch of shingle counts of all rows."""
+    """(doc_id, row, n_shingles, fp) of every row, and the sketch of shingle counts of all rows.
+
+    ``row`` tells rows of one id apart by their text.
+    """
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        rows: tuple[list, list, list] = ([], [], [])
+        rows: tuple[list, ...] = ([], [], [], [])
 
         def flush():
             n = len(rows[0])
             out = pa.RecordBatch.from_arrays([
-                pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()),
+                *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.string()),
                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-            ], ["doc_id", "n_shingles", "fp", "part", "counts"])
+            ], ["doc_id", "row", "n_shingles", "fp", "part", "counts"])
             for r in rows:
                 r.clear()
             return out
 
-        ids, last = [], None
+        ids, keys, last = [], [], None
         for batch, k, own in text_sets(batches, size):
             if batch is not last:
-                ids, last = batch.column("doc_id").to_pylist(), batch
+                ids, keys, last = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch
             np.add.at(sketch, (own >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            for r, v in zip(rows, (ids[k], len(own), fingerprint(own))):
+            for r, v in zip(rows, (ids[k], keys[k], len(own), fingerprint(own))):
                 r.append(v)
             if len(rows[0]) == 5000:
                 yield flush()
@@ -136,9 +143,9 @@ def profile(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         for part, counts in enumerate(np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)):
             if counts.any():
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()),
+                    *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.string()),
                     pa.array([part], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()),
-                ], ["doc_id", "n_shingles", "fp", "part", "counts"])
+                ], ["doc_id", "row", "n_shingles", "fp", "part", "counts"])
 
     def add(key, table):
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
@@ -148,15 +155,15 @@ def profile(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": [zlib.compress(total.tobytes(), 1)]})
 
     rows = written(
-        docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            run, "doc_id long, n_shingles long, fp string, part int, counts binary"
+        docs.select(F.col("doc_id").cast("long"), row_id().alias("row"), "text").mapInArrow(
+            run, "doc_id long, row long, n_shingles long, fp string, part int, counts binary"
         ), "sets",
     )
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int32)
     summed = rows.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary")
     for r in summed.collect():           # SKETCH_PARTS rows, 4 MB in all
         sketch[r.part] = np.frombuffer(zlib.decompress(r.counts), np.int32)
-    return rows.where("part is null").select("doc_id", "n_shingles", "fp"), sketch.ravel()
+    return rows.where("part is null").select("doc_id", "row", "n_shingles", "fp"), sketch.ravel()
 
 
 # --- candidates ---------------------------------------------------------------------------------
@@ -596,8 +603,8 @@ def linked(blocks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "a string, b string")
 
 
-def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; a component is what links of at least num/den reach."""
+def classes_of(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n_shingles, fp) of every row, and (fp, root, lowest): the component of each set, its smallest id."""
     spark = small_batches(docs).sparkSession
     rows, counts = profile(docs, size)
     sketch = spark.sparkContext.broadcast(counts)
@@ -623,17 +630,29 @@ def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100)
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     lowest = named.groupBy("root").agg(F.min("first").alias("lowest"))
-    named = named.join(lowest, "root").select("fp", "lowest")
+    return rows, named.join(lowest, "root").select("fp", "root", "lowest")
+
+
+def similar_sets(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; a component is what links of at least num/den reach."""
+    rows, named = classes_of(docs, size, num, den)
     return rows.join(named, "fp", "left").select(
         "doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("lowest")).alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with the smallest id of each component, all columns; rows without id stay."""
-    keep = similar_sets(docs, size, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each component, all columns: that with the smallest id, then the smallest hash; null ids last.
+
+    Rows of one id are told apart by their text, equal rows (id and text) are one.  Texts without words
+    are components of their own.
+    """
+    rows, named = classes_of(docs, size, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    keep = rows.where("fp is not null").join(named.select("fp", "root"), "fp").groupBy("root").agg(first).select("first.row")
+    keep = written(keep.union(rows.where("fp is null").select("row")).distinct(), "representatives")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"), row_id().alias("row"))
+    return held.join(keep, "row", "left_semi").dropDuplicates(["row"]).select("held.*")
 
 
 def sql(size: int = 3, num: int = 90, den: int = 100) -> str:

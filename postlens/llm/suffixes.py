@@ -319,11 +319,12 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     # counts are written before they are joined, so that AQE can split a frequent gram's rows
     again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     some = written(every.join(again, "gram", "left_semi"), "candidates")
-    names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n")), "names")
+    # each name with one of its tuples: a name that occurs twice is a partner for the others
+    one = F.min(F.struct("doc_id", "key", "pos", "low", "high")).alias("one")
+    names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n"), one), "names")
     kinds = written(names.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     open_ = written(
-        some.join(kinds, "gram").dropDuplicates(["gram", "name"])
-        .withColumn("many", F.col("kinds") > GROUP).drop("kinds"), "open",
+        names.join(kinds, "gram").select("one.*", "gram", "name", (F.col("kinds") > GROUP).alias("many")), "open"
     )
     twice = names.where("n > 1").select("gram", "name")
     settled = some.join(twice, ["gram", "name"], "left_semi").select(
@@ -344,7 +345,7 @@ def duplicate_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     solved = some.join(parts, ["gram", "name"]).select("doc_id", "key", F.transform(
         "windows", lambda w: F.struct((F.col("pos") - w["to"]).alias("start"), (F.col("pos") - w["from"] + span).alias("end"))
     ).alias("parts"))
-    return settled.union(solved).groupBy("doc_id", "key").agg(F.flatten(F.collect_list("parts")).alias("items"))
+    return settled.union(solved).groupBy("doc_id", "key").agg(F.flatten(F.collect_set("parts")).alias("items"))
 
 
 def word_line(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -422,10 +423,11 @@ def repeated_words(docs: DataFrame, words: int) -> DataFrame:
     every = written(word_tuples(docs, words), "word-tuples")
     again = written(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "word-grams")
     some = written(every.join(again, "gram", "left_semi"), "word-candidates")
-    names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n")), "word-names")
+    one = F.min(F.struct("doc_id", "key", "first", "last")).alias("one")
+    names = written(some.groupBy("gram", "name").agg(F.count("*").alias("n"), one), "word-names")
     kinds = written(names.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "word-kinds")
     # of a name that occurs twice one tuple goes on, as a partner for the others
-    open_ = written(some.join(kinds, "gram", "left_semi").dropDuplicates(["gram", "name"]), "word-open")
+    open_ = written(names.join(kinds, "gram", "left_semi").select("one.*"), "word-open")
     bits = spark.sparkContext.broadcast(key_bits(open_.select("key").distinct(), "key"))
     windows = written(word_windows(docs, open_, bits, words), "word-windows")
     twice = written(windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "word-twice")
@@ -433,7 +435,7 @@ def repeated_words(docs: DataFrame, words: int) -> DataFrame:
     found = settled.select("doc_id", "key", "start", "end").union(
         windows.join(twice, "name", "left_semi").select("doc_id", "key", "start", "end")
     )
-    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("items"))
+    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("items"))
 
 
 def merged(items) -> list[tuple[int, int]]:
@@ -497,6 +499,7 @@ def without_duplicates(docs: DataFrame, span: int = SPAN, words: int | None = No
     spans = written(spans, "spans")
     bits = docs.sparkSession.sparkContext.broadcast(key_bits(spans.select("key"), "key"))
     names, schema = docs.columns, docs.schema
+    key, ranges = unused(names, "key"), unused(names, "items")
 
     def keyed(wanted):
         def run(batches):
@@ -506,15 +509,15 @@ def without_duplicates(docs: DataFrame, span: int = SPAN, words: int | None = No
                 keys = np.array([row_key(i, t) for i, t in zip(ids, texts)], np.int64)
                 keep = pa.array(has_bit(bits.value, keys) == wanted)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.filter(keep) for c in batch.columns), pa.array(keys).filter(keep)], [*batch.schema.names, "_key"]
+                    [*(c.filter(keep) for c in batch.columns), pa.array(keys).filter(keep)], [*batch.schema.names, key]
                 )
-        return docs.mapInArrow(run, _plus(schema, "_key"))
+        return docs.mapInArrow(run, _plus(schema, key))
 
     def cut(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
             out = []
-            for text, own in zip(texts, batch.column("items").to_pylist()):
+            for text, own in zip(texts, batch.column(ranges).to_pylist()):
                 data, at, parts = (text or "").encode(), 0, []
                 for a, b in merged(own):
                     parts.append(data[at:a])
@@ -528,9 +531,17 @@ def without_duplicates(docs: DataFrame, span: int = SPAN, words: int | None = No
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     some, lists = keyed(True).alias("t"), spans.alias("l")
-    same = (F.col("t._key") == F.col("l.key")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))
-    joined = some.join(lists, same, "left").select(*[f"t.`{n}`" for n in names], "l.items")
-    return joined.mapInArrow(cut, schema).union(keyed(False).drop("_key"))
+    same = (F.col(f"t.{key}") == F.col("l.key")) & F.col("t.doc_id").eqNullSafe(F.col("l.doc_id"))
+    joined = some.join(lists, same, "left").select(*[f"t.`{n}`" for n in names], F.col("l.items").alias(ranges))
+    return joined.mapInArrow(cut, schema).union(keyed(False).drop(key))
+
+
+def unused(names: list[str], name: str) -> str:
+    """``name`` with underscores until no column has it, whatever its case."""
+    taken = {n.lower() for n in names}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _plus(schema, name):

@@ -79,6 +79,9 @@ def test_jaccard_components(spark, texts, bounds, monkeypatch):
     assert kept.columns == ["doc_id", "text", "score", "n", "key"]
     named = [r.doc_id for r in kept.collect() if r.doc_id is not None]
     assert sorted(named) == sorted({c for i, _, c in want if i == c and i is not None})
+    same = [(1, "a b c d"), (1, "e f g h"), (2, "e f g h"), (None, "i j k l"), (None, "I j k l"), (3, None), (3, None), (1, "a b c d")]
+    kept = [(r.doc_id, (r.text or "").lower()) for r in jaccard.one_of_each(docs(spark, same), 3, 90, 100).collect()]
+    assert sorted(kept, key=str) == [(1, "a b c d"), (1, "e f g h"), (3, ""), (None, "i j k l")]
     assert jaccard.similar_sets(docs(spark, [])).count() == 0
 
 
@@ -175,6 +178,17 @@ def test_stage_removes_passages_of_over_50_words(spark):
     assert suffixes.repeated_words(docs(spark, [(None, passage), (None, None), (1, passage)]), 51).count() == 2
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"word{rng.randrange(10**6)}" for _ in range(80))
+    rows = docs(spark, [(1, f"x {passage} y")] * 40 + [(2, f"z {passage}")])
+    spans = {r.doc_id: r["items"] for r in suffixes.duplicate_spans(rows).collect()}
+    assert len(spans[1]) == len(set(spans[1])) <= 30
+    clashing = rows.withColumns({c: F.lit(3) for c in ("key", "_key", "items", "KEY_")})
+    left = suffixes.without_duplicates(clashing, words=51)
+    assert left.columns == clashing.columns and left.count() == 41 and left.where("KEY_ = 3 and items = 3").count() == 41
+
+
 def test_masks_cover_the_window():
     span, stride = decontaminate.WINDOW, decontaminate.STRIDE
     for bad in itertools.combinations(range(span), decontaminate.SUBSTITUTIONS):
@@ -197,6 +211,11 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
     assert got == {(i, b) for i in (1, 2, 8, None) for b in (1, None)} | {(6, 2)}
     assert {r.doc_id for r in decontaminate.clean(docs(spark, rows), bench).collect()} == {3, 4, 5, 7}
+    others = [*rows, (1, "a clean text"), (None, "another"), (None, "another")]
+    left = decontaminate.clean(docs(spark, others).withColumn("mark", F.lit(1)).withColumn("row", F.lit(2)), bench)
+    assert left.columns == ["doc_id", "text", "score", "n", "key", "mark", "row"]
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id == 1) == [(1, "a clean text")]
+    assert left.where("doc_id is null").count() == 2
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
