@@ -4,7 +4,7 @@ A text falls into pieces that can be encoded on their own.  The new distinct wor
 trie; its depth-first walk gives every node its *last token*: the final token of the encoding of the
 bytes on the path.  The last token of a prefix is the one token that ends there and may follow the last
 token of what stands before it, so an encoding is read backwards from a node and prefixes shared by
-many words are computed once.  Finished words are kept per Python worker in a table of bounded size.
+many words are computed once.  Finished words are kept per Python worker in a table of bounded bytes.
 
 Special tokens written out in a text are encoded as such (the tokenizer file's default) and decoding
 keeps them.  Null is an empty text: no token, and the digests of nothing.  Rows are encoded one by one,
@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame
 from postlens.llm.common import slices, small_batches
 
 MOST_PIECES = 600_000        # entries of the worker's table before it starts anew
+MOST_BYTES = 1 << 27         # of pieces and their encodings in that table
+LONGEST = 64                 # letters of a piece that is kept; longer ones are encoded where they stand
+MOST_PAIRS = 2_000_000       # known pairs of tokens before their table starts anew
 
 # fixed values: the pre-tokenizer's pattern and its white space
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -77,6 +80,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        self.held = 0                       # bytes in the two tables below
         self.ids: dict[str, str] = {}       # piece -> its ids, each with a comma behind
         self.text: dict[str, bytes] = {}    # piece -> the bytes its ids decode to
 
@@ -114,6 +118,8 @@ class Encoder:
         tail, size, ids, fits, follows = self.tail, self.size, self.id, self.fits, self.may_follow
         last: list[int] = []
         before = b""
+        if len(fits) > MOST_PAIRS:
+            fits.clear()
         for w in sorted(words):
             shared, most = 0, min(len(w), len(before))
             while shared < most and w[shared] == before[shared]:
@@ -154,6 +160,14 @@ class Encoder:
             ids = [i for w in ws for i in known[w]]
             self.ids[p] = "".join(f"{i}," for i in ids)
             self.text[p] = b"".join(self.bytes[i] for i in ids)
+            self.held += len(p) + len(self.ids[p]) + len(self.text[p])
+
+    def forget(self, pieces) -> None:
+        """Long pieces seldom come again: they leave the table with their batch."""
+        for p in pieces:
+            if len(p) > LONGEST:
+                self.held -= len(p) + len(self.ids[p]) + len(self.text[p])
+                del self.ids[p], self.text[p]
 
     def pieces(self, text: str) -> tuple[str, list[str]]:
         """(head, pieces): a border lies before a blank or line end that follows no white space."""
@@ -172,7 +186,7 @@ class Encoder:
             else:
                 plain[k] = self.pieces(t)
                 new.update(plain[k][1])
-        if len(self.ids) > MOST_PIECES:
+        if len(self.ids) > MOST_PIECES or self.held > MOST_BYTES:
             self.clear()
         new.difference_update(self.ids)
         if new:
@@ -189,6 +203,7 @@ class Encoder:
                 "".join(f"{i}," for i in ids) + "".join(map(self.ids.__getitem__, rest)),
                 b"".join(self.bytes[i] for i in ids) + b"".join(map(self.text.__getitem__, rest)),
             ))
+        self.forget(new)
         return out
 
     def encode_whole(self, text: str) -> tuple[str, bytes]:
