@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.llm.common import written
 
-MASS = 10**12          # whole parts and rounds of the SQL check
-ROUNDS = 10
 KEEP = 85              # hundredths of the mass that go on over links
 BOUND = 1e-6
 BLOCK_SHARE = 500      # thousandths
@@ -128,14 +126,18 @@ def judge(pages: DataFrame, rules=None) -> DataFrame:
 
 
 def _mass_sql(name: str, links: str, seeds: str) -> str:
-    """Common tables name0..nameROUNDS with (host, mass)."""
-    steps = [f"{name}0 AS MATERIALIZED (SELECT host, seed AS mass FROM {seeds})"]
-    for k in range(1, ROUNDS + 1):
-        steps.append(f"""{name}{k} AS MATERIALIZED (SELECT host, sum(mass)::BIGINT AS mass FROM (
-            SELECT host, seed * {100 - KEEP} // 100 AS mass FROM {seeds} UNION ALL
-            SELECT l.to_host, (sum(m.mass * l.part // 1000000)::BIGINT) * {KEEP} // 100
-            FROM {name}{k - 1} m JOIN {links} l ON l.host = m.host GROUP BY l.to_host) GROUP BY host)""")
-    return ",\n".join(steps)
+    """Common tables for the rounds of ``propagate`` and, under ``name``, the masses of its last one."""
+    stays, keep = 1 - KEEP / 100, KEEP / 100
+    return f"""{name}_rounds AS (
+      SELECT 0 AS k, host, seed * {stays} AS mass, CASE WHEN EXISTS (SELECT 1 FROM {links}) THEN seed ELSE 0 END AS flow FROM {seeds}
+      UNION ALL
+      SELECT k, host, sum(mass) AS mass, sum(flow) AS flow FROM (
+        SELECT k + 1 AS k, host, mass, 0.0 AS flow FROM {name}_rounds
+        UNION ALL
+        SELECT m.k + 1, l.to_host, m.flow * l.part * {keep} * {stays}, m.flow * l.part * {keep}
+        FROM {name}_rounds m JOIN {links} l ON l.host = m.host
+      ) WHERE EXISTS (SELECT 1 FROM {name}_rounds WHERE flow * {stays} > {BOUND} * mass) GROUP BY k, host
+    ), {name} AS MATERIALIZED (SELECT host, mass FROM {name}_rounds WHERE k = (SELECT max(k) FROM {name}_rounds))"""
 
 
 def _rule_sql() -> str:
@@ -150,7 +152,7 @@ def _rule_sql() -> str:
 
 
 SQL = rf"""
-WITH rest AS (
+WITH RECURSIVE rest AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), place AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
@@ -162,18 +164,18 @@ found AS (
   SELECT host, translate(regexp_extract(substr(link, instr(link, '//') + 2), '^[^/?#]*', 0), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS to_host FROM found
 ), counted AS (
   SELECT host, to_host, count(*) AS n FROM pairs WHERE host <> to_host AND host <> '' AND to_host <> '' GROUP BY ALL
-), ahead AS MATERIALIZED (SELECT host, to_host, n * 1000000 // (sum(n) OVER (PARTITION BY host))::BIGINT AS part FROM counted),
-back AS MATERIALIZED (SELECT to_host AS host, host AS to_host, n * 1000000 // (sum(n) OVER (PARTITION BY to_host))::BIGINT AS part FROM counted),
+), ahead AS MATERIALIZED (SELECT host, to_host, n::DOUBLE / sum(n) OVER (PARTITION BY host) AS part FROM counted),
+back AS MATERIALIZED (SELECT to_host AS host, host AS to_host, n::DOUBLE / sum(n) OVER (PARTITION BY to_host) AS part FROM counted),
 seeds AS (SELECT hit.action AS action, host, count(*) AS n FROM known WHERE hit IS NOT NULL AND host <> '' GROUP BY ALL),
-share AS MATERIALIZED (SELECT action, host, n * ({MASS} // (sum(n) OVER (PARTITION BY action))::BIGINT) AS seed FROM seeds),
+share AS MATERIALIZED (SELECT action, host, n::DOUBLE / sum(n) OVER (PARTITION BY action) AS seed FROM seeds),
 good AS (SELECT host, seed FROM share WHERE action = '{ALLOW}'), bad AS (SELECT host, seed FROM share WHERE action = '{BLOCK}'),
 {_mass_sql('trust', 'ahead', 'good')},
 {_mass_sql('distrust', 'back', 'bad')},
 hosts AS (
   SELECT host, coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
-  FROM trust{ROUNDS} t FULL JOIN distrust{ROUNDS} d USING (host)
+  FROM trust t FULL JOIN distrust d USING (host)
 )
 SELECT page_id, k.host, path, hit.rule AS rule, coalesce(hit.action, CASE WHEN distrust > 0
-  AND distrust * 1000 >= {BLOCK_SHARE} * (trust + distrust) THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict
+  AND round(distrust / (trust + distrust), 9) >= {BLOCK_SHARE / 1000} THEN '{BLOCK}' ELSE '{ALLOW}' END) AS verdict
 FROM known k LEFT JOIN hosts h ON h.host = k.host
 """
