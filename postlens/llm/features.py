@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +21,10 @@ _CLASS[[32, 9]] = 3
 _CLASS[[10, 13]] = 4
 _CLASS[128:] = 5
 STATISTICS = 14
+LETTERS = 4
+# first bytes of the scripts from U+0800 on but for U+2000 to U+2FFF (quotes, dashes, symbols)
+_DENSE = np.zeros(256, bool)
+_DENSE[[0xE0, 0xE1, *range(0xE3, 0xF5)]] = True
 
 
 class Slice:
@@ -37,14 +43,32 @@ class Slice:
         self.start, self.stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.doc = np.searchsorted(self.ends, self.start, side="right")
 
-    def stems(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, stem, count): the first four bytes of each word of at least four, A-Z folded."""
-        keep = self.stop - self.start >= 4
-        start, doc = self.start[keep], self.doc[keep]
-        stem = np.zeros(len(start), np.int64)
-        for k in range(4):
-            stem = (stem << 8) | self.folded[start + k]
-        return counted(doc, stem)
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count): the first four letters of each word; a shorter word is whole."""
+        return self._terms(LETTERS)
+
+    def whole_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count): each word."""
+        return self._terms(len(self.bytes))
+
+    def _terms(self, letters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count): the first letters (code points) of each word, A-Z folded.
+
+        In scripts that set no blanks between words every letter begins a term of itself and the next
+        one instead.
+        """
+        lead = np.flatnonzero((self.folded & 0xC0) != 0x80)
+        border = np.append(lead, len(self.folded))
+        dense = _DENSE[self.folded]
+        first = np.flatnonzero(~dense[self.start]) if len(self.start) else np.zeros(0, np.int64)
+        letter = np.flatnonzero(dense)
+        word = np.searchsorted(self.start, letter, side="right") - 1
+        whose = np.concatenate([first, word])
+        start = np.concatenate([self.start[first], letter])
+        many = np.repeat([letters, 2], [len(first), len(letter)])
+        after = np.minimum(np.searchsorted(lead, start) + many, len(lead))
+        term = span_hash(running_hash(self.folded), start, np.minimum(border[after], self.stop[whose]))
+        return counted(self.doc[whose], (term >> _U(1)).astype(np.int64))
 
     def words(self) -> np.ndarray:
         return span_hash(running_hash(self.folded), self.start, self.stop)
@@ -97,24 +121,26 @@ def counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[at], term[at], np.diff(at, append=len(doc))
 
 
-VECTORS = "doc_id long, stems array<long>, counts array<int>, statistics array<float>"
+VECTORS = "doc_id long, terms array<long>, counts array<int>, statistics array<float>"
 
 
-def vectors(batches):
-    """Arrow batches of (doc_id, text) to the schema ``VECTORS``."""
-    for batch in batches:
-        texts = utf8(batch.column("text"))
-        for a, b, part in text_slices(texts):
-            doc, stem, count = part.stems()
-            offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)), pa.int32())
-            flat = pa.array(part.statistics().ravel(), pa.float32())
-            steps = pa.array(np.arange(b - a + 1) * STATISTICS, pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").slice(a, b - a),
-                pa.ListArray.from_arrays(offsets, pa.array(stem)),
-                pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
-                pa.ListArray.from_arrays(steps, flat),
-            ], ["doc_id", "stems", "counts", "statistics"])
+def vectors(terms: Callable[[Slice], tuple]):
+    """Arrow batches of (doc_id, text) to the schema ``VECTORS``; ``terms`` is a method of ``Slice``."""
+    def run(batches):
+        for batch in batches:
+            texts = utf8(batch.column("text"))
+            for a, b, part in text_slices(texts):
+                doc, term, count = terms(part)
+                offsets = pa.array(np.searchsorted(doc, np.arange(b - a + 1)), pa.int32())
+                flat = pa.array(part.statistics().ravel(), pa.float32())
+                steps = pa.array(np.arange(b - a + 1) * STATISTICS, pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").slice(a, b - a),
+                    pa.ListArray.from_arrays(offsets, pa.array(term)),
+                    pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))),
+                    pa.ListArray.from_arrays(steps, flat),
+                ], ["doc_id", "terms", "counts", "statistics"])
+    return run
 
 
 def labelled_sample(labels: DataFrame, label: str, parts: int, part: int, per_class: int) -> DataFrame:
@@ -134,10 +160,13 @@ def labelled_sample(labels: DataFrame, label: str, parts: int, part: int, per_cl
     return picked[0].union(picked[1])
 
 
-def sample_vectors(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """Vectors of the sampled rows; the sample is broadcast, its size is bounded by its limits."""
+def sample_vectors(docs: DataFrame, sample: DataFrame, terms: Callable[[Slice], tuple]) -> DataFrame:
+    """Vectors of the sampled rows; the sample is broadcast, its size is bounded by its limits.
+
+    Of rows of one id the one with the smallest text counts, so a fitted model doesn't change between runs.
+    """
     found = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
-    return found.mapInArrow(vectors, VECTORS).dropDuplicates(["doc_id"])
+    return found.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(vectors(terms), VECTORS)
 
 
 def text_slices(texts: list[bytes]):

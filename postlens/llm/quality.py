@@ -1,6 +1,6 @@
 """Quality classifier: a factorisation machine over hashed words, structure and length.
 
-A text is a sparse vector: hashed word stems (sublinear counts, scaled to length one) and a few
+A text is a sparse vector: hashed words (sublinear counts, scaled to length one) and a few
 structure statistics.  The score is
 
     sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2))
@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.common import held_out, small_batches, utf8
 from postlens.llm.features import (
-    STATISTICS, bucket, labelled_sample, sample_vectors, text_slices,
+    STATISTICS, Slice, bucket, labelled_sample, sample_vectors, text_slices,
 )
 
 SAMPLE = 3000        # labelled rows per class used for fitting
-BITS = 12            # hashed words: 4096 buckets
+BITS = 14            # hashed words: 16384 buckets
 FACTORS = 8
 EPOCHS = 12
 HELD_OUT = (4, 2)    # crc32 of the id modulo 4 is 2
@@ -56,23 +56,23 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sparse(doc, stem, count, statistics, centre, scale):
+def sparse(doc, word, count, statistics, centre, scale):
     """(row, feature, value): words first, then the standardised statistics of each row."""
     n = len(statistics)
     value = 1 + np.log(count)
     norm = np.sqrt(np.bincount(doc, value * value, n))
     value = value / np.maximum(norm, 1e-9)[doc]
     rows = np.concatenate([doc, np.repeat(np.arange(n), STATISTICS)])
-    features = np.concatenate([bucket(stem, BITS), np.tile(np.arange(STATISTICS), n) + (1 << BITS)])
+    features = np.concatenate([bucket(word, BITS), np.tile(np.arange(STATISTICS), n) + (1 << BITS)])
     values = np.concatenate([value, ((statistics - centre) / scale).ravel()])
     return rows, features, values
 
 
-def train(doc, stem, count, statistics, label, seed: int = 1) -> Machine:
+def train(doc, word, count, statistics, label, seed: int = 1) -> Machine:
     """Logistic loss, Adagrad over shuffled batches; the bias is set for the natural class share later."""
     n = len(label)
     centre, scale = statistics.mean(0), statistics.std(0) + 0.05
-    row, feature, value = sparse(doc, stem, count, statistics, centre, scale)
+    row, feature, value = sparse(doc, word, count, statistics, centre, scale)
     order = np.argsort(row, kind="stable")
     row, feature, value = row[order], feature[order], value[order]
     bounds = np.searchsorted(row, np.arange(n + 1))
@@ -112,15 +112,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Machine |
     }
     if len(counts) < 2:
         return 0.0 if 0 in counts else 1.0
-    got = sample_vectors(docs, sample).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
+    got = sample_vectors(docs, sample, Slice.whole_words).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     y = got["label"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return float(counts[1] / sum(counts.values()))
-    stems = got["stems"].combine_chunks()
-    doc = np.repeat(np.arange(len(y)), np.diff(stems.offsets.to_numpy()))
+    words = got["terms"].combine_chunks()
+    doc = np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
     statistics = got["statistics"].combine_chunks().flatten().to_numpy().reshape(len(y), STATISTICS)
     count = got["counts"].combine_chunks().flatten().to_numpy()
-    m = train(doc, stems.flatten().to_numpy(), count, statistics, y)
+    m = train(doc, words.flatten().to_numpy(), count, statistics, y)
     m.bias += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return m
 
@@ -134,8 +134,8 @@ def scorer(model: Machine | float):
                 if isinstance(model, float):
                     scores[a:b] = model
                     continue
-                doc, stem, count = part.stems()
-                row, feature, value = sparse(doc, stem, count, part.statistics(), model.centre, model.scale)
+                doc, word, count = part.whole_words()
+                row, feature, value = sparse(doc, word, count, part.statistics(), model.centre, model.scale)
                 scores[a:b] = sigmoid(model.logits(row, feature, value, b - a))
             yield pa.RecordBatch.from_arrays(
                 [*(c for n, c in zip(batch.schema.names, batch.columns) if n != "text"), pa.array(scores)],

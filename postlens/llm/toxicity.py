@@ -1,9 +1,10 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, through block-max lists.
 
-Terms are word stems (the first four bytes of longer words).  Document frequencies are counted over
-all documents.  The examples are a bounded sample of labelled rows (``EXAMPLES`` per class) and every
-term of at least ``FEWEST`` of them is indexed but those in over ``COMMONEST`` of all documents.  A weight is (1 + log count) *
-log((1 + documents) / (1 + df)) ** ``POWER``, so rare terms count for more than in plain TF-IDF.
+Terms are the first four letters of each word, shorter words whole; where a script sets no blanks between
+words, each letter with the next.  Document frequencies are counted over all documents.  The examples are
+a bounded sample of labelled rows (``EXAMPLES`` per class) and every term of theirs is indexed.  A weight
+is (1 + log count) * log((1 + documents) / (1 + df)).  Terms of a text that no example has would shorten
+all its similarities alike, so they are left out.
 
 For terms that stand in ``DENSE`` of the examples the inverted index keeps, for every term and block of
 examples, the postings and the largest weight.  The few postings of all other terms are added up for a
@@ -29,16 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from postlens.llm.common import held_out, mix, small_batches, utf8
-from postlens.llm.features import labelled_sample, sample_vectors, text_slices
+from postlens.llm.features import Slice, labelled_sample, sample_vectors, text_slices
 
 EXAMPLES = 3000       # examples per class in the index
 CALIBRATION = 1000    # further labelled rows per class for the logistic curve
 BLOCK = 64
 NEIGHBOURS = 25
-FEWEST = 2            # a term stands in at least so many examples, whatever their number
 DENSE = 0.02          # terms in at least this share of the examples have block maxima, others plain postings
-COMMONEST = 0.2       # a term stands in at most this share of all documents
-POWER = 2.5           # of the inverse document frequency
 HELD_OUT = (5, 0)
 THRESHOLD = 0.5
 
@@ -47,7 +45,7 @@ THRESHOLD = 0.5
 class Index:
     """Block-max inverted index; examples are numbered in their order in blocks."""
 
-    terms: np.ndarray        # sorted stems
+    terms: np.ndarray        # sorted
     idf: np.ndarray
     ids: np.ndarray          # example ids
     toxic: np.ndarray
@@ -63,19 +61,19 @@ class Index:
     slope: float = 1.0
     shift: float = 0.0
 
-    def weights(self, doc, stem, count, n):
+    def weights(self, doc, term, count, n):
         """(row, term, weight) of unit TF-IDF rows over the known terms."""
-        at = np.searchsorted(self.terms, stem)
+        at = np.searchsorted(self.terms, term)
         at[at == len(self.terms)] = 0
-        keep = self.terms[at] == stem if len(self.terms) else np.zeros(len(stem), bool)
+        keep = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
         doc, at, count = doc[keep], at[keep], count[keep]
         weight = (1 + np.log(count)) * self.idf[at]
         norm = np.sqrt(np.bincount(doc, weight * weight, n))
         return doc, at, weight / np.maximum(norm, 1e-12)[doc]
 
-    def queries(self, doc, stem, count, n):
+    def queries(self, doc, term, count, n):
         """Per text its weights of the frequent terms, then its similarity to each example over the rare ones."""
-        doc, at, weight = self.weights(doc, stem, count, n)
+        doc, at, weight = self.weights(doc, term, count, n)
         width = len(self.most)
         out = np.zeros((n, width + len(self.ids)), np.float32)
         column = self.column[at]
@@ -145,17 +143,15 @@ def spread(vote):
     return np.log(vote / (1 - vote))
 
 
-def build(ids, toxic, doc, stem, count, frequency: dict[int, int], n_docs: int, share: float) -> Index:
+def build(ids, toxic, doc, term, count, frequency: dict[int, int], n_docs: int, share: float) -> Index:
     """The index of the sampled examples; like examples stand near each other."""
-    terms, found = np.unique(stem, return_counts=True)
+    terms, found = np.unique(term, return_counts=True)
     df = np.array([frequency.get(int(t), 1) for t in terms])
-    keep = (found >= FEWEST) & (df <= COMMONEST * max(n_docs, 1))
-    terms, df, found = terms[keep], df[keep], found[keep]
-    idf = np.log((1 + n_docs) / (1 + df)) ** POWER
+    idf = np.log((1 + n_docs) / (1 + df))
     often = found >= DENSE * len(ids)
     column = np.where(often, np.cumsum(often) - 1, -1)
     index = Index(terms, idf, ids, toxic, column, np.zeros((int(often.sum()), 1), np.float32), [], [], [], share)
-    doc, at, weight = index.weights(doc, stem, count, len(ids))
+    doc, at, weight = index.weights(doc, term, count, len(ids))
     q = np.zeros((len(ids), int(often.sum())), np.float32)
     common = column[at] >= 0
     q[doc[common], column[at[common]]] = weight[common]
@@ -193,7 +189,7 @@ def calibrate(index: Index, vote, label, odds: float) -> None:
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """(stem, df) over all documents; each task counts its own rows first."""
+    """(term, df) over all documents; each task counts its own rows first."""
     def run(batches):
         counts: dict[int, int] = {}
         rows = 0
@@ -201,8 +197,8 @@ def document_frequency(docs: DataFrame) -> DataFrame:
             texts = utf8(batch.column("text"))
             rows += len(texts)
             for _, _, part in text_slices(texts):
-                _, stem, _ = part.stems()
-                for t, c in zip(*(x.tolist() for x in np.unique(stem, return_counts=True))):
+                _, term, _ = part.beginnings()
+                for t, c in zip(*(x.tolist() for x in np.unique(term, return_counts=True))):
                     counts[t] = counts.get(t, 0) + c
             if len(counts) > 500_000:
                 yield _counts(counts)
@@ -210,13 +206,13 @@ def document_frequency(docs: DataFrame) -> DataFrame:
         counts[-1] = rows
         yield _counts(counts)
 
-    rows = docs.select("text").mapInArrow(run, "stem long, df long")
-    return rows.groupBy("stem").agg(F.sum("df").alias("df"))
+    rows = docs.select("text").mapInArrow(run, "term long, df long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def _counts(counts):
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["stem", "df"]
+        [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "df"]
     )
 
 
@@ -230,12 +226,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index | flo
     if len(counts) < 2:
         return float(share)
     sample = labelled_sample(small_batches(labels), label, *HELD_OUT, EXAMPLES + CALIBRATION)
-    got = sample_vectors(docs, sample).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
+    got = sample_vectors(docs, sample, Slice.beginnings).join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     ids, y = got["doc_id"].to_numpy(), got["label"].to_numpy().astype(np.int64)
     if len(set(y)) < 2:
         return float(share)
-    stems, counted = got["stems"].combine_chunks(), got["counts"].combine_chunks().flatten().to_numpy()
-    doc, stem = np.repeat(np.arange(len(y)), np.diff(stems.offsets.to_numpy())), stems.flatten().to_numpy()
+    terms, counted = got["terms"].combine_chunks(), got["counts"].combine_chunks().flatten().to_numpy()
+    doc, term = np.repeat(np.arange(len(y)), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy()
     # of each class the first part becomes examples, the rest calibrates; few rows do both
     rank = np.zeros(len(y), np.int64)
     by = np.lexsort((ids, mix(ids.astype(np.uint64))))
@@ -244,20 +240,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Index | flo
         rank[own] = np.arange(len(own))
     # as many examples of either class, so that a vote starts even
     example = rank < min(EXAMPLES, max(1, int(min((y == 1).sum(), (y == 0).sum())) * 4 // 5))
-    terms = np.unique(stem[example[doc]])
+    terms = np.unique(term[example[doc]])
     spark = docs.sparkSession
-    wanted = spark.createDataFrame(pa.table({"stem": np.append(terms, -1)}))
-    frequency = {r.stem: r.df for r in document_frequency(docs).join(F.broadcast(wanted), "stem").collect()}
+    wanted = spark.createDataFrame(pa.table({"term": np.append(terms, -1)}))
+    frequency = {r.term: r.df for r in document_frequency(docs).join(F.broadcast(wanted), "term").collect()}
     number = np.cumsum(example) - 1
     use = example[doc]
     index = build(
-        ids[example], y[example], number[doc[use]], stem[use], counted[use],
+        ids[example], y[example], number[doc[use]], term[use], counted[use],
         frequency, frequency.get(-1, 0), float(share),
     )
     rest = ~example if (~example).any() else example
     number = np.cumsum(rest) - 1
     use = rest[doc]
-    votes = index.vote(*index.neighbours(index.queries(number[doc[use]], stem[use], counted[use], int(rest.sum()))))
+    votes = index.vote(*index.neighbours(index.queries(number[doc[use]], term[use], counted[use], int(rest.sum()))))
     label_rest = y[rest]
     ones, zeros = max(1, label_rest.sum()), max(1, (1 - label_rest).sum())
     calibrate(index, votes, label_rest, float(np.log(counts[1] / counts[0]) - np.log(ones / zeros)))
@@ -273,7 +269,7 @@ def scorer(model: Index | float):
                 if isinstance(model, float):
                     scores[a:b] = model
                     continue
-                best, whose = model.neighbours(model.queries(*part.stems(), b - a))
+                best, whose = model.neighbours(model.queries(*part.beginnings(), b - a))
                 scores[a:b] = model.scores(model.vote(best, whose))
                 top = np.where(whose[:, :3] >= 0, model.ids[np.maximum(whose[:, :3], 0)], -1)
                 evidence[a:b] = [[x for x in r if x >= 0] for r in top.tolist()]

@@ -7,13 +7,14 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from postlens.llm import bpe, decontaminate, jaccard, quality, shards, suffixes, topk, toxicity, urls, warc
+from postlens.llm import bpe, decontaminate, features, jaccard, quality, shards, suffixes, topk, toxicity, urls, warc
 
 DOCS = "doc_id long, text string, score double, n long, key string"
 
@@ -242,10 +243,56 @@ def test_shards(spark, texts):
         own = sorted(r.slot for r in got if r.shard == shard)
         assert own == list(range(len(own)))
     assert {(r.doc_id, r.text_crc32) for r in got} == {(i, zlib.crc32((t or "").encode())) for i, t in texts}
-    load = {s: 1000 + s % 7 for s in range(400)}
+    assert shards.assign(docs(spark, [])).count() == 0
+    load = {(s, 0): 1000 + s % 7 for s in range(400)}
     after = shards.rebalance(shards.first_map(7, 400), load, 7)
     total = [sum(load[s] for s in load if after[s] == k) for k in range(7)]
     assert max(total) - min(total) < 1007 and shards.rebalance(after, load, 7) == after
+    # a slot that no shard can share: the others still become even
+    load[5, 0] = 400_000
+    after = shards.rebalance(shards.first_map(7, 400), load, 7)
+    total = sorted(sum(load[s] for s in load if after[s] == k) for k in range(7))
+    assert total[-1] == 400_000 and total[-2] - total[0] < 1007
+
+
+def loads_of(rows):
+    total = Counter()
+    for r in rows:
+        total[r.shard] += r.size
+    return total
+
+
+def test_shards_split_slots_of_equal_rows(spark):
+    many = docs(spark, [(None, "")] * 25_000 + [(i, f"text {i}") for i in range(2000)])
+    got = shards.assign(many, 8).collect()
+    total = loads_of(got)
+    assert len(got) == 27_000 and len(total) == 8 and max(total.values()) - min(total.values()) <= 200
+    for shard in total:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    heavy = {r.virtual_slot for r in got if r.part}
+    assert len(heavy) == 1 and all(r.virtual_slot in heavy for r in got if r.doc_id is None)
+
+
+def test_stored_slot_map_is_edited(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "x" * rng.randrange(400)) for i in range(3000)]
+    path = str(tmp_path / "map")
+    one = {r.doc_id: r.shard for r in shards.assign(docs(spark, rows), 8, path).collect()}
+    same = {r.doc_id: r.shard for r in shards.assign(docs(spark, rows), 8, path).collect()}
+    assert one == same and shards.newest_map(spark, path)[0] == 1
+    more = rows + [(i, "y" * 2000) for i in range(3000, 3200)]
+    got = shards.assign(docs(spark, more), 8, path).collect()
+    version, newest, _ = shards.newest_map(spark, path)
+    first = {(r.virtual_slot, r.part): r.shard for r in spark.read.parquet(path).where("version = 1").collect()}
+    moved = {k for k in newest if newest[k] != first.get(k)}
+    assert version == 2 and 0 < len(moved) < 400
+    assert {r.doc_id for r in got if r.doc_id < 3000 and r.shard != one[r.doc_id]} == {
+        r.doc_id for r in got if r.doc_id < 3000 and (r.virtual_slot, r.part) in moved}
+    total = loads_of(got)
+    assert max(total.values()) - min(total.values()) <= 2100
+    # one more shard takes slots and gives none
+    grown = {r.doc_id: r.shard for r in shards.assign(docs(spark, more), 9, path).collect()}
+    assert set(grown.values()) == set(range(9)) and shards.newest_map(spark, path)[0] == 3
 
 
 def test_warc_round_trip(spark):
@@ -288,6 +335,27 @@ def test_url_filter(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_sql_on_linked_pages(spark):
+    link = '<a href="http://{0}/p">x</a>'.format
+    # a chain of hosts to a blocked hub, a chain from a trusted one, a ring between, several links from one page
+    rows = [("http://hub.com/de/1", link("other.net")), ("http://good.com/fr/1", link("g0.net") + link("c1.net"))]
+    rows += [(f"http://c{k}.net/", link(f"c{k + 1}.net") if k < 5 else link("hub.com")) for k in range(6)]
+    rows += [(f"http://g{k}.net/", link(f"g{k + 1}.net") + link("c2.net") * (k % 2)) for k in range(3)]
+    rows += [("http://r1.net/", link("r2.net")), ("http://r2.net/", link("r1.net") + link("hub.com") + link("good.com"))]
+    rows += [(None, None), ("http://lone.net/x", ""), ("http://hub.com/de/2", None)]
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    want = {tuple(r) for r in duck_rows(urls.SQL, pages=pages)}
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    assert got == want and {r[4] for r in got if r[1].startswith("c")} == {"allow", "block"}
+
+
+def duck_rows(sql, **tables):
+    with duckdb.connect() as con:
+        for name, df in tables.items():
+            con.register(name, df.toArrow())
+        return con.execute(sql).fetchall()
+
+
 def test_distrust_reaches_all_linkers_of_a_small_hub(spark):
     blocked = spark.createDataFrame([("hub", 1), ("else", 25_000_000 - 1)], "host string, n long")
     seeds = blocked.select("host", (F.col("n") / 25_000_000).alias("seed"))
@@ -378,6 +446,64 @@ def test_rare_terms_are_indexed():
     assert {tuple(sorted(index.ids[w[w >= 0]])) for w in whose} == {(k + 1, k + 3) for k in range(0, n, 4)}
 
 
+def test_terms_of_short_words_and_other_scripts():
+    part = features.Slice(["You big OAF".encode(), "привет приветы кот".encode(), "漢字漢a".encode(), b"", "don’t pathetic path".encode()])
+    doc, term, count = part.beginnings()
+    own = [dict(zip(term[doc == k], count[doc == k])) for k in range(5)]
+    assert [sorted(o.values()) for o in own] == [[1, 1, 1], [1, 2], [1, 1, 1], [], [1, 2]]
+    doc, term, count = part.whole_words()
+    assert [int((doc == k).sum()) for k in range(5)] == [3, 3, 3, 0, 3]
+    again = features.Slice(["x кот oaf".encode(), "字漢".encode()])
+    doc, term, _ = again.beginnings()
+    assert set(term[doc == 0]) & set(own[0]) and set(term[doc == 0]) & set(own[1]) and set(term[doc == 1]) & set(own[2])
+
+
+@pytest.mark.parametrize("rude, nice", [
+    ("you big oaf", "the sun is out"), ("ты дурак и осёл", "сегодня ясный день"), ("你是个大笨蛋", "今天天气很好"),
+])
+def test_short_words_and_other_scripts_are_told_apart(spark, rude, nice):
+    rows = [(i, rude if i % 2 else nice) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(200)], "doc_id long, toxic int, quality int")
+    for run in (toxicity.toxicity, quality.classify):
+        assert all(r.predicted == r.doc_id % 2 for r in run(docs(spark, rows), labels).collect())
+
+
+def test_pairwise_sum_equals_the_identity():
+    rng = np.random.default_rng(4)
+    size, n = (1 << quality.BITS) + features.STATISTICS, 6
+    m = quality.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.FACTORS)), None, None)
+    rows = [np.unique(rng.integers(0, size, 9)) for _ in range(n - 1)] + [np.zeros(0, np.int64)]
+    values = [rng.normal(size=len(f)) for f in rows]
+    got = m.logits(np.repeat(np.arange(n), [len(f) for f in rows]), np.concatenate(rows).astype(np.int64), np.concatenate(values), n)
+    for k, (f, x) in enumerate(zip(rows, values)):
+        pairs = sum(m.factor[f[i]] @ m.factor[f[j]] * x[i] * x[j] for i in range(len(f)) for j in range(i))
+        assert got[k] == pytest.approx(0.3 + m.weight[f] @ x + pairs)
+
+
+def test_vote_and_calibration_of_toxicity():
+    index = toxicity.Index(*[None] * 2, np.array([10, 11, 12]), np.array([1, 0, 1]), *[None] * 5, 0.25)
+    best, whose = np.array([[0.9, 0.5, 0.1], [0.4, -1, -1], [-1, -1, -1]]), np.array([[0, 1, 2], [1, -1, -1], [-1, -1, -1]])
+    vote = index.vote(best, whose)
+    assert vote[0] == pytest.approx((0.81 + 0.01) / (0.81 + 0.25 + 0.01)) and vote[1] == 0 and np.isnan(vote[2])
+    rng = np.random.default_rng(2)
+    given = rng.uniform(0.05, 0.95, 4000)
+    label = (rng.uniform(size=4000) < given).astype(int)        # a vote that is the probability
+    toxicity.calibrate(index, given, label, 0.0)
+    assert index.slope == pytest.approx(1, abs=0.1) and index.shift == pytest.approx(0, abs=0.1)
+    assert index.scores(vote)[2] == 0.25 and index.scores(np.array([0.8]))[0] == pytest.approx(0.8, abs=0.03)
+
+
+def test_long_pieces_leave_the_table():
+    coder = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    for _ in range(20):
+        texts = ["a " + "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(500)) + " end" for _ in range(5)]
+        got = coder.encode(texts)
+        assert [b.decode() for _, b in got] == texts
+    assert set(coder.ids) == set(coder.text) == {"end"}
+    assert coder.held == len("end") + len(coder.ids["end"]) + len(coder.text["end"])
+
+
 def test_varied_insults_are_toxic(spark):
     rng = random.Random(3)
     nice = ["gentle", "river", "window", "garden", "paper", "music", "travel", "summer"]
