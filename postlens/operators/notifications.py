@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from postlens.functions import fixed_values as V
 from postlens.functions.labels import escape_markup, humanise, score_percent
 
+MAIL_STRONG = 0.75      # from this score on a match is shown as a strong one
 CLAIM = ("job_id", "user_id", "channel")
 
 
@@ -76,11 +77,49 @@ def _given(value: Column, *texts) -> Column:
     )
 
 
+def mail_html(rows: DataFrame) -> Column:
+    """The HTML part of a mail; all values are escaped, empty parts are left out."""
+    c = F.col
+
+    def fact(label: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<tr><th>{label}</th><td>"), escape_markup(value), F.lit("</td></tr>"))
+
+    def skills(label: str, name: str, limit: int) -> Column:
+        if name not in rows.columns:
+            return F.lit(None).cast("string")
+        listed = escape_markup(F.array_join(F.slice(name, 1, limit), ", "))
+        return F.when(F.size(name) > 0, F.concat(F.lit(f"<p><b>{label}</b> "), listed, F.lit("</p>")))
+
+    colour = F.when(c("score") >= MAIL_STRONG, "#1b5e20").otherwise("#8d6e00")
+    facts = F.array_join(F.array_compact(F.array(
+        fact("Location", c("location")), fact("Type", humanise(c("employment_type"))),
+        fact("Remote", humanise(c("remote_type"))),
+        F.when(c("salary") != "", fact("Salary", c("salary"))),
+        fact("Posted", c("posted_date").cast("string")),
+    )), "")
+    return F.array_join(F.array_compact(F.array(
+        F.lit('<!doctype html><html><head><meta charset="utf-8"></head><body style="font-family:sans-serif">'),
+        F.concat(F.lit("<h1>"), escape_markup(c("job_title")), F.lit("</h1>")),
+        F.concat(F.lit("<h2>"), escape_markup(c("company_name")), F.lit("</h2>")),
+        F.concat(
+            F.lit('<p style="color:'), colour, F.lit('">'), score_percent(c("score")).cast("string"), F.lit("% match</p>"),
+        ),
+        F.concat(F.lit("<table>"), facts, F.lit("</table>")),
+        F.when(c("reasoning") != "", F.concat(
+            F.lit("<h3>Why this matched</h3><p>"), escape_markup(c("reasoning")), F.lit("</p>"),
+        )),
+        skills("Your skills mentioned:", "matched_skills", 8), skills("Not mentioned:", "missing_skills", 6),
+        F.concat(F.lit('<p><a href="'), escape_markup(c("url")), F.lit('">View &amp; apply</a></p>')),
+        F.lit("</body></html>"),
+    )), "\n")
+
+
 def render(rows: DataFrame) -> DataFrame:
-    """Subject, plain text, chat markup and message blocks per alert row.
+    """Subject, plain text, mail HTML, chat markup and message blocks per alert row.
 
     Input: ``job_title, company_name, location, employment_type, remote_type, salary,
     posted_date, reasoning, matched_skills, score, url``; empty parts are left out.
+    ``missing_skills`` may be given, the HTML lists them.
     """
     c = F.col
     percent = F.concat(score_percent(c("score")).cast("string"), F.lit("%"))
@@ -142,6 +181,7 @@ def render(rows: DataFrame) -> DataFrame:
             F.lit("["), percent, F.lit(" match] "), c("job_title"), F.lit(" — "), c("company_name")
         ),
         "text": text,
+        "html": mail_html(rows),
         "telegram": telegram,
         "slack_text": F.concat(c("job_title"), F.lit(" at "), c("company_name")),
         "slack_blocks": blocks,

@@ -254,6 +254,25 @@ def test_unnotified_blocks_on_failed_rows(spark):
     assert TL.delivery_summary(old.limit(0)).first().success_rate is None
 
 
+def test_mail_html(spark):
+    schema = ("job_title string, company_name string, location string, employment_type string, remote_type string, salary string, "
+              "posted_date date, reasoning string, matched_skills array<string>, missing_skills array<string>, score double, url string")
+    full = ("<script>alert(1)</script>", "A & B", "Berlin, DE", "full_time", "remote", "50-60k EUR", dt.date(2024, 5, 6), "fits <you>",
+            [f"s{k}" for k in range(10)], [f"m{k}" for k in range(9)], 0.8, 'https://x.org/?a="1"&b=2')
+    bare = ("Eng", "C", "Rome", "full_time", "remote", None, None, None, [], None, 0.5, "https://x.org")
+    rows = spark.createDataFrame([full, bare], schema)
+    one, two = (r.html for r in N.render(rows).orderBy(F.desc("score")).collect())
+    assert "<script>" not in one and "&lt;script&gt;alert(1)&lt;/script&gt;" in one and "A &amp; B" in one
+    for part in ("80% match", "Berlin, DE", "50-60k EUR", "2024-05-06", "Why this matched", "fits &lt;you&gt;", "#1b5e20"):
+        assert part in one
+    assert 'href="https://x.org/?a=&quot;1&quot;&amp;b=2"' in one
+    assert "s7" in one and "s8" not in one and "m5" in one and "m6" not in one
+    for part in ("Salary", "Posted", "Why this matched", "mentioned", "#1b5e20"):
+        assert part not in two
+    assert "50% match" in two and N.render(rows.drop("missing_skills")).where("html like '%Not mentioned%'").isEmpty()
+    assert N.render(rows.limit(0)).isEmpty()
+
+
 def test_render(spark):
     row = spark.createDataFrame(
         [("Eng <b>", "Acme", "Berlin", "full_time", "remote", None, None, "fits", ["a"] * 9, 0.87, "https://x?a=1&b=2")],
