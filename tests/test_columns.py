@@ -27,6 +27,16 @@ def test_normalize_key_and_keywords(column):
     ]
 
 
+def test_keywords_fold_a_long_text_once(column):
+    import time
+
+    words = F.array(*[F.lit(f"word {n}") for n in range(20)])
+    text = "größe naïve " * 30_000 + "Word 7"
+    start = time.time()
+    assert column([text], lambda c: T.find_keywords(c, words)) == [["word 7"]]
+    assert time.time() - start < 12
+
+
 def test_normalize_key_matches_unicode_definition(column):
     import re
     import unicodedata
