@@ -464,3 +464,10 @@ def test_unknown_platforms_are_read_as_pages(spark):
         (2, "Data Engineer", "https://a.com/j/1", "Oslo", "css_selector"),
         (3, "Analyst", "https://x.com/7", "", "api"),
     }
+
+
+def test_scoring_moves_only_what_it_reads(spark):
+    from postlens.plans import matching_checks as Q
+
+    rows = Q.distinct_postings(spark, "/root/testdata/sf0.001", "seq")
+    assert rows.columns == [*Q.SCORING, "seq"]
