@@ -117,29 +117,38 @@ def parse_posted_date(value: Column, today: Column) -> Column:
     return bind(F.btrim(value, F.lit(" \t\r\n")), parse)
 
 
+def _stamp(day: Column, clock: Column) -> Column:
+    """ISO text of a day and the six groups of ``_CLOCK``."""
+
+    def part(group: int) -> Column:
+        return F.get(clock, F.lit(group - 1))
+
+    hour = part(1).try_cast("int")
+    hour = (
+        F.when(part(5) == "pm", F.when(hour < 12, hour + 12).otherwise(hour))
+        .when(part(5) == "am", F.when(hour == 12, 0).otherwise(hour))
+        .otherwise(hour)
+    )
+    zone = F.regexp_replace(part(6), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    zone = F.when(zone.rlike(r"^[+-]"), zone).otherwise("Z")
+    return F.concat(
+        day, F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2),
+        F.lit(":"), F.when(part(3) == "", "00").otherwise(part(3)), part(4), zone,
+    )
+
+
 def parse_posted_datetime(value: Column, now: Column) -> Column:
     """Timestamp when the source carried a clock time, else null; never the future."""
 
     def parse(text: Column) -> Column:
-        def part(group: int) -> Column:
-            return F.regexp_extract(text, _CLOCK, group)
-
-        hour = part(1).try_cast("int")
-        hour = (
-            F.when(part(5) == "pm", F.when(hour < 12, hour + 12).otherwise(hour))
-            .when(part(5) == "am", F.when(hour == 12, 0).otherwise(hour))
-            .otherwise(hour)
-        )
-        zone = F.regexp_replace(part(6), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-        zone = F.when(zone.rlike(r"^[+-]"), zone).otherwise("Z")
-        day = _written_date(F.regexp_replace(text, r"(\d)t(\d{1,2}:)", "$1 $2"), F.to_date(now), True)
-        stamp = F.concat(
-            day.cast("string"), F.lit("T"), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2),
-            F.lit(":"), F.when(part(3) == "", "00").otherwise(part(3)), part(4), zone,
-        ).try_cast("timestamp")
+        groups = "\x01".join(f"${n}" for n in range(1, 7))
+        clock = F.split(F.regexp_replace(F.regexp_extract(text, _CLOCK, 0), _CLOCK, groups), "\x01")
+        spaced = F.regexp_replace(text, r"(\d)t(\d{1,2}:)", "$1 $2")
+        day = bind(spaced, lambda t: _written_date(t, F.to_date(now), True).cast("string"))
+        stamp = bind(clock, lambda parts: _stamp(day, parts).try_cast("timestamp"))
         epoch = F.timestamp_seconds(_epoch_seconds(text))
         return F.coalesce(
-            epoch, F.when(text.rlike(r"\d{1,2}:\d{2}") & (stamp <= now), stamp)
+            epoch, F.when(text.rlike(r"\d{1,2}:\d{2}"), bind(stamp, lambda s: F.when(s <= now, s)))
         )
 
     return bind(F.lower(F.btrim(value, F.lit(" \t\r\n"))), parse)

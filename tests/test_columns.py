@@ -27,6 +27,24 @@ def test_normalize_key_and_keywords(column):
     ]
 
 
+def test_clock_of_a_timestamp_is_read_once(column):
+    now = F.lit("2026-07-30 00:00:00").cast("timestamp")
+    read = dates.parse_posted_datetime(F.col("a0"), now)
+    assert str(read).count(dates._CLOCK) <= 4
+    values = ["2024-05-01T10:00:00+0200", "1 May 2024 9:05 pm", "2024-05-01 12:30 am utc", "2027-01-01 10:00", "10:00", "x", None]
+    assert column(values, lambda c: dates.parse_posted_datetime(c, now).cast("string")) == [
+        "2024-05-01 08:00:00", "2024-05-01 21:05:00", "2024-05-01 00:30:00", None, None, None, None,
+    ]
+
+
+def test_blanks_are_told_apart_behind_printable_letters(column):
+    points = [chr(p) for p in range(1, 0x3100) if not 0xD800 <= p <= 0xDFFF]
+    told = column(points, lambda c: c.rlike(f"^{T._BLANK}$"))
+    old = column(points, lambda c: c.rlike(f"^[{T._BLANKS}]$"))
+    assert told == old
+    assert column(["a\u2003 b\u00a0c  d"], T.collapse_blanks) == ["a b c d"]
+
+
 def test_keywords_fold_a_long_text_once(column):
     import time
 
