@@ -74,16 +74,20 @@ def seniority_from_years(years: Column) -> Column:
     )
 
 
+def level_in_text(text: Column) -> Column:
+    """Level that running text tells, by a role phrase or by years; null if it tells none."""
+    return F.coalesce(seniority_from_prose(text), bind(parse_years_required(text), seniority_from_years))
+
+
+def seniority_of(title: Column, level: Column, title_key: Column | None = None) -> Column:
+    """Title words, ladder suffix, the ``level`` told elsewhere: the first that speaks wins."""
+    key = normalize_key(title) if title_key is None else title_key
+    return F.coalesce(seniority_from_title_key(key), seniority_from_ladder(title), level, F.lit("unknown"))
+
+
 def parse_seniority(title: Column, description: Column, title_key: Column | None = None) -> Column:
     """Title words, ladder suffix, prose, years: the first that speaks wins."""
-    key = normalize_key(title) if title_key is None else title_key
-    return F.coalesce(
-        seniority_from_title_key(key),
-        seniority_from_ladder(title),
-        seniority_from_prose(description),
-        bind(parse_years_required(description), seniority_from_years),
-        F.lit("unknown"),
-    )
+    return seniority_of(title, level_in_text(description), title_key)
 
 
 def seniority_rank(level: Column) -> Column:
@@ -127,6 +131,24 @@ def detect_skills(*texts: Column) -> Column:
     return skills_in_key(normalize_key(_joined(*texts)))
 
 
+def skill_digest(key: Column) -> Column:
+    """A short text that holds the dictionary terms of a folded text and nothing else of it but its ends.
+
+    The words at both ends stay, since a term may begin in one text and end in the next.
+    """
+    terms = list(skill_dictionary())
+    edge = max(len(t.split(" ")) for t in terms) - 1
+
+    def cut(words: Column) -> Column:
+        hay = padded(F.array_join(words, " "))
+        hits = bind(hay, lambda h: F.filter(word_list(terms), lambda t: F.contains(h, padded(t))))
+        ends = [F.array_join(F.slice(words, 1, edge), " "), F.array_join(F.slice(words, -edge, edge), " ")]
+        short = F.concat_ws(" \x01 ", ends[0], hits, ends[1])
+        return F.when(F.size(words) <= 2 * edge, F.array_join(words, " ")).otherwise(short)
+
+    return bind(F.split(key, " "), cut)
+
+
 def years_gap(required: Column, years_experience: Column) -> Column:
     """Years a candidate is short of what is asked; null when either is unknown."""
     short = required - years_experience
@@ -138,7 +160,7 @@ def required_years(description: Column, requirements: Column) -> Column:
 
 
 __all__ = [
-    "detect_skills", "find_keys", "parse_employment_type", "parse_seniority",
-    "parse_years_required", "required_years", "seniority_from_years", "seniority_rank",
-    "skill_dictionary", "skills_in_key", "token_shingles", "years_gap",
+    "detect_skills", "find_keys", "level_in_text", "parse_employment_type", "parse_seniority",
+    "parse_years_required", "required_years", "seniority_from_years", "seniority_of", "seniority_rank",
+    "skill_dictionary", "skill_digest", "skills_in_key", "token_shingles", "years_gap",
 ]

@@ -471,3 +471,36 @@ def test_scoring_moves_only_what_it_reads(spark):
 
     rows = Q.distinct_postings(spark, "/root/testdata/sf0.001", "seq")
     assert rows.columns == [*Q.SCORING, "seq"]
+
+
+def test_enrichment_reads_a_shared_detail_once(spark):
+    """Postings that share a detail: terms across text borders, own texts beside it, no repeated reading."""
+    from postlens.functions.fields import detect_skills, parse_seniority
+    from postlens.operators.enrichment import enrich_update, enrichment_report
+
+    filler = "and more words that say nothing at all " * 3
+    posts = spark.createDataFrame([
+        (1, "a", "Machine", None, None, "unknown"), (2, "a", "Clerk", None, "Ruby and SQL", "unknown"),
+        (3, "b", "Clerk", "Kept text, 9 years of experience", None, "unknown"), (4, "b", "Senior Clerk", None, "", "senior"),
+        (5, "c", "Clerk", "Own Python", None, "unknown"), (6, None, "Clerk", "Own Python", None, "unknown"), (7, "d", "Clerk", "x", None, "unknown"),
+    ], "seq long, part string, title string, description string, requirements string, seniority string").withColumns({
+        "detected_skills": F.array(F.lit("old")), "posted_at": F.lit(None).cast("timestamp")})
+    details = spark.createDataFrame([
+        ("a", f"Learning with Apache Kafka. {filler} as a senior backend engineer, Django. {filler}", None),
+        ("b", None, f"{filler} Kubernetes"), ("c", f"{filler} machine", f"learning {filler} 3+ years"), ("d", " ", ""),
+    ], "part string, description string, requirements string").withColumn("posted_at", F.lit("2024-05-01T10:00:00Z"))
+    out = enrich_update(posts, details, ["part"], F.lit("2026-07-30").cast("timestamp"))
+    body = F.concat(F.coalesce("requirements", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit("")))
+    told = out.select(
+        "*", detect_skills(F.col("title"), F.col("description"), F.col("requirements")).alias("all_skills"),
+        parse_seniority(F.col("title"), body).alias("all_level")).orderBy("seq").collect()
+    for r in told:
+        assert r.enriched == (r.seq <= 5)
+        assert r.detected_skills == (r.all_skills if r.enriched else ["old"])
+        assert r.seniority == (r.all_level if r.enriched else "unknown")
+    assert "machine learning" in told[0].detected_skills and "django" in told[0].detected_skills
+    report = enrichment_report(out).first()
+    assert (report.considered, report.fetched, report.enriched) == (7, 6, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    scan, above = plan.split("Join LeftOuter")[1], plan.split("Join LeftOuter")[0]
+    assert "__level" in scan and "__d_key" in scan and "__d_key" in above
