@@ -410,6 +410,15 @@ def test_inline_state_object(column):
     assert column([html, "none"], E.inline_state_object) == ['{"a": "}", "b": {"c": "\\"}"}}', None]
 
 
+def test_inline_state_object_of_a_long_text(spark, column):
+    long = '{"t": "' + 'a } \\" b ' * 20_000 + '", \'}\': {}}'
+    cases = [f"phApp.ddo  =\n{long} }}", "phApp.ddo = {'a': 1", "phApp.ddo = [{}]", 'phApp.ddo = {"a} {', None, "phApp.ddo = x; phApp.ddo={}"]
+    assert column(cases, E.inline_state_object) == [long, None, None, '{"a}', None, "{}"]
+    payloads = spark.createDataFrame([(1, '{"jobs": [{"title": "a"}]}')], "company_id int, body string")
+    plan = B.phenom_postings(payloads)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_seeds(spark):
     def lines(*texts):
         return spark.createDataFrame(list(enumerate(texts)), "line_no int, line string")
