@@ -513,3 +513,21 @@ def test_enrichment_reads_a_shared_detail_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     scan, above = plan.split("Join LeftOuter")[1], plan.split("Join LeftOuter")[0]
     assert "__level" in scan and "__d_key" in scan and "__d_key" in above
+
+
+def test_payloads_of_all_boards_share_one_shuffle(spark):
+    """What all platforms' payloads are made of is moved once, not once per platform."""
+    from postlens.plans import board_checks as C
+
+    def moved():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    sf = "/root/testdata/sf0.001"
+    root, entry = C.ENTRIES["lever"]
+    before = moved()
+    C._payloads(spark, sf, "lever", entry(), root).write.format("noop").mode("overwrite").save()
+    one = moved() - before
+    before = moved()
+    assert C.board_registry(spark, sf).agg(F.sum("n")).first()[0] > 0
+    assert moved() - before < 4 * one
