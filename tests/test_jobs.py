@@ -531,3 +531,20 @@ def test_payloads_of_all_boards_share_one_shuffle(spark):
     before = moved()
     assert C.board_registry(spark, sf).agg(F.sum("n")).first()[0] > 0
     assert moved() - before < 4 * one
+
+
+def test_embedded_pages_are_read_in_place(spark):
+    """Each page is settled by one tier in its own task: no join, no window, pages of one id told apart."""
+    state = '<script id="__NEXT_DATA__">{"jobs": [{"title": "S", "url": "/s"}]}</script>'
+    pages = spark.createDataFrame([
+        (1, "https://a.com", '<script type="application/ld+json">{"@type": "JobPosting", "title": "&hairsp;"}</script>' + state),
+        (2, "https://a.com", '<script type="application/ld+json">[{"@type": "JobPosting", "title": ""}, {"@type": "JobPosting", "name": "L"}]</script>' + state),
+        (3, "https://a.com", '<script id="__NEXT_DATA__">{"x": 1}</script><script>window.__NUXT__ = {"r": [{"title": "N", "url": "/n"}]};</script>'),
+        (None, "https://a.com", state), (4, "https://a.com", None),
+    ], "page_id long, url string, html string")
+    out = E.embedded_postings(pages)
+    got = {(r.page_id, r.source, r.title) for r in out.collect()}
+    assert got == {(1, "state", "S"), (2, "json_ld", "L"), (3, "state", "N"), (None, "state", "S")}
+    for frame in (out, E.state_postings(pages)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
