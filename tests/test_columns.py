@@ -73,6 +73,29 @@ def test_truncate(column):
     assert column(["abcdef", "abc", "ab  cdef"], lambda c: T.truncate(c, 4)) == ["abc…", "abc", "ab…"]
 
 
+def test_plain_links_have_the_general_form(spark):
+    """The compiled form of plain links agrees with the general one, and is taken for no other link."""
+    plain = [
+        "https://H.com", "http://h.com/?", "https://h.com/a//b?b=2&a=1#x?y=1", "https://h.com?a=1&a1=2&a=0&a-=3&A=1&a.=4",
+        "https://h.com/?utm_source=x&b=2&ref=1", "https://h.com/?xref=1&ref=2&_ga=3", "http://h.com/%20\u00e4/..?k=~._-#f\nx",
+    ]
+    other = [
+        "https://h.com:443/", "ftp://h.com/", "//h.com", "https://u@h.com/", "https://h.com/a;p", "https://h.com/?a=%20", "https://h.com/?a=",
+        "https://h.com/?=1", "https://h.com/?a=b=c", "https://h.com/?&a=1", "https://\u00e9.com/", "", "https://h.com/?" + "a=1&" * 60 + "b=1",
+    ]
+    rows = spark.createDataFrame([(u,) for u in [*plain, *other, None]], "u string").select(
+        "u", F.col("u").rlike(urls._PLAIN_LINK).alias("p"), urls.canonicalize_url(F.col("u")).alias("got"),
+        urls._canonical_any(F.col("u")).alias("want"),
+    ).collect()
+    assert [r.u for r in rows if r.p] == plain
+    assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_clean_text_of_tidy_and_untidy(column):
+    texts = ["a b", " a  b ", "a\tb", "a\x1fb", "a\u00a0b", "a &amp; b", "caf\u00e9", "\ufb01n", "", None, "&eacute;  x"]
+    assert column(texts, T.clean_text) == ["a b", "a b", "a b", "a b", "a b", "a & b", "caf\u00e9", "fin", "", "", "\u00e9 x"]
+
+
 def test_urls(column):
     assert column(["https://careers.acme.co.uk/jobs", "https://jobs.eu.lever.co/acme", "nohost"], urls.registrable_domain) == [
         "acme.co.uk", "lever.co", "",
