@@ -170,6 +170,20 @@ def touch_seen(
     return out.drop("__seen")
 
 
+def two_loads(rows: DataFrame, is_new: Column, order: Sequence[Column], captured: Column, seen_at: Column) -> DataFrame:
+    """Stored postings after a first load and a second one (``is_new``), as ``new_postings`` and ``touch_seen`` leave them.
+
+    One aggregate: a row is read and moved once, and a key with many rows is cut in each map task.  Rows whose
+    ``is_new`` is null belong to no load.
+    """
+    first, at = F.col("__first"), F.col("__first.__at")
+    kept = rows.withColumn("__new", is_new).filter("__new IS NOT NULL").groupBy(*KEY).agg(
+        F.min(F.struct("__new", *order, captured.alias("__at"))).alias("__first"), F.max("__new").alias("__seen"),
+    )
+    touched = ~first["__new"] & F.col("__seen")
+    return kept.select(*KEY, at.alias("first_seen_at"), F.when(touched, seen_at).otherwise(at).alias("last_seen_at"))
+
+
 def stale_reap(stored: DataFrame, now: Column, days: int = V.STALE_AFTER_DAYS) -> DataFrame:
     """Close postings unseen for ``days``; rows are kept."""
     stale = F.col("last_seen_at") < now - F.make_dt_interval(days=F.lit(days))

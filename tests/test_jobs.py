@@ -9,7 +9,7 @@ from postlens.functions import fixed_values as V
 from postlens.operators import common
 from postlens.operators import candidates as K, matchers as X, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
-from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join
+from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join, two_loads
 from postlens.operators.prices import price_lookup
 from postlens.sources import boards as B, embedded as E, intake, selectors as S
 
@@ -27,6 +27,18 @@ def test_new_postings(spark):
     assert got == {(1, "d", 3), (1, "e", 4), (2, "d", 5)}
 
 
+def test_two_loads_read_each_row_once(spark):
+    """What new_postings and touch_seen leave, by one aggregate (before: four readings of the rows)."""
+    rows = spark.createDataFrame(
+        [(1, "a", 2, 5, 10), (1, "a", 1, None, 11), (1, "a", 9, 1, 50), (1, "b", 3, 2, 12), (2, "a", 4, 3, 60), (2, "a", 4, None, 61), (3, "c", 0, 0, None)],
+        "company_id bigint, content_hash string, seq bigint, place bigint, at bigint",
+    )
+    order = [F.col("seq"), F.col("place")]
+    got = two_loads(rows, F.col("at") >= 50, order, F.col("at"), F.lit(99).cast("bigint"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 11, 99), (1, "b", 12, 12), (2, "a", 61, 61)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def profile(spark, **change):
     base = dict(
         profile_id=1, seniority="mid", remote_preference="any", max_seniority_gap=1, include_unknown_location=True,
