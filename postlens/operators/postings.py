@@ -184,6 +184,18 @@ def two_loads(rows: DataFrame, is_new: Column, order: Sequence[Column], captured
     return kept.select(*KEY, at.alias("first_seen_at"), F.when(touched, seen_at).otherwise(at).alias("last_seen_at"))
 
 
+def touched_by_second(rows: DataFrame, is_new: Column, captured: Column, seen_at: Column) -> DataFrame:
+    """``last_seen_at`` of the postings of a first load after a second one (``is_new``), as ``touch_seen`` leaves it.
+
+    One aggregate over both loads, as in ``two_loads``.
+    """
+    kept = rows.withColumns({"__new": is_new, "__at": captured}).groupBy(*KEY).agg(
+        F.max(F.when(~F.col("__new"), F.col("__at"))).alias("__last"), F.max("__new").alias("__seen"),
+        F.min("__new").alias("__only_new"),
+    ).filter(~F.col("__only_new"))
+    return kept.select(*KEY, F.when(F.col("__seen"), seen_at).otherwise(F.col("__last")).alias("last_seen_at"))
+
+
 def stale_reap(stored: DataFrame, now: Column, days: int = V.STALE_AFTER_DAYS) -> DataFrame:
     """Close postings unseen for ``days``; rows are kept."""
     stale = F.col("last_seen_at") < now - F.make_dt_interval(days=F.lit(days))

@@ -9,7 +9,7 @@ from postlens.functions import fixed_values as V
 from postlens.operators import common
 from postlens.operators import candidates as K, matchers as X, matching as M, notifications as N, pages as G, selectors as L, telemetry as TL
 from postlens.operators.extraction import acceptable, extraction_score, ladder_choice
-from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join, two_loads
+from postlens.operators.postings import KEY, new_postings, normalize_postings, skill_token_join, touched_by_second, two_loads
 from postlens.operators.prices import price_lookup
 from postlens.sources import boards as B, embedded as E, intake, selectors as S
 
@@ -39,6 +39,16 @@ def test_two_loads_read_each_row_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_touch_by_second_load_reads_each_row_once(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 10), (1, "a", 11), (1, "a", 50), (1, "b", 12), (1, "b", None), (2, "a", 60), (3, "c", None)],
+        "company_id bigint, content_hash string, at bigint",
+    )
+    got = touched_by_second(rows, F.col("at") >= 50, F.col("at"), F.lit(99).cast("bigint"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", 99), (1, "b", 12)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def profile(spark, **change):
     base = dict(
         profile_id=1, seniority="mid", remote_preference="any", max_seniority_gap=1, include_unknown_location=True,
