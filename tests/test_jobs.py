@@ -49,6 +49,17 @@ def test_touch_by_second_load_reads_each_row_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
 
 
+def test_json_ld_scripts_are_found_in_the_walk(spark):
+    """Script texts are taken out beside the walk, as the pattern with a lazy middle took them."""
+    ld = '<SCRIPT x type = "application/LD+json" y>'
+    pages = [f"{ld}1</Script >2</script>{ld}\n3</SCRIPT>{ld}4", f"{ld}{ld}5</script>", "<script>6</script>", f"{ld}</script>", "", None]
+    pattern = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
+    rows = spark.createDataFrame([(p,) for p in pages], "html string").select(
+        "html", F.coalesce(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), F.array().cast("array<string>")).alias("want"),
+    ).collect()
+    assert [list(E._ld_texts(r.html)) for r in rows] == [r.want for r in rows]
+
+
 def profile(spark, **change):
     base = dict(
         profile_id=1, seniority="mid", remote_preference="any", max_seniority_gap=1, include_unknown_location=True,
